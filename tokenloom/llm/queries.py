@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import line_dedup
+from tokenloom.llm import line_dedup, near_dedup, simhash
 from tokenloom.llm._common import documents
 
 QUERIES = {
     "op5_line_dedup": lambda spark, sf_dir: line_dedup.op5(spark, documents(spark, sf_dir)),
+    "op8_simhash": lambda spark, sf_dir: simhash.op8(spark, documents(spark, sf_dir)),
+    "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10(spark, documents(spark, sf_dir)),
 }
 
 ORACLES = {
