@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import line_dedup, near_dedup, simhash
+from tokenloom.llm import line_dedup, near_dedup, quality_rules, simhash, toxicity
 from tokenloom.llm._common import documents
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2,
     "op5_line_dedup": lambda spark, sf_dir: line_dedup.op5(spark, documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: simhash.op8(spark, documents(spark, sf_dir)),
+    "op9_toxicity": toxicity.op9,
     "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10(spark, documents(spark, sf_dir)),
 }
 
