@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import bpe_automaton, line_dedup, near_dedup, packing, quality_rules, simhash, toxicity
+from tokenloom.llm import bpe_automaton, html_extraction, line_dedup, near_dedup, packing, quality_rules, simhash, toxicity
 from tokenloom.llm._common import documents
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
+    "op3_html_extraction": html_extraction.op3,
     "op4_bpe_automaton": bpe_automaton.op4,
     "op5_line_dedup": lambda spark, sf_dir: line_dedup.op5(spark, documents(spark, sf_dir)),
     "op6_best_fit_packing": packing.op6,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_html_extraction": html_extraction.op3,
     "op4_bpe_automaton": bpe_automaton.op4,
     "op5_line_dedup": line_dedup.ORACLE,
 }
