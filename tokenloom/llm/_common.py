@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Text handled at a time inside a Python worker; bounds its memory, never what is processed.
 BLOCK_BYTES = 4 << 20
@@ -107,3 +108,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def plus(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``df`` with more fields behind."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
+
+
+def without(df: DataFrame, fields: str) -> DataFrame:
+    """``df`` without columns that bear the name of one of ``fields``, which a result column replaces."""
+    names = {f.name.lower() for f in T.StructType.fromDDL(fields).fields}
+    return df.drop(*(c for c in df.columns if c.lower() in names))

@@ -20,7 +20,8 @@ and runs matching the split pattern; the last symbol of a word carries the end-o
 joins arc labels with a space, as the file names no decoder.
 
 Null or empty text: no tokens. Null doc_ids and repeated rows are encoded like any other row; an empty
-table gives an empty result. Extra columns stay.
+table gives an empty result. Extra columns stay, except that one with the name of a result column is
+replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import blocks, documents
+from tokenloom.llm._common import blocks, documents, plus, without
 
 WORDS_KEPT = 200_000
 DEAD = -1
@@ -288,9 +289,9 @@ def load(path: str) -> Tokenizer:
 
 def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """``docs`` plus ids (array) and decoded; with ``digest``: plus n_tokens, ids_sha256, decoded_sha256."""
-    fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns]
-    at = docs.columns.index("text")
     more = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["ids array<int>", "decoded string"]
+    docs = without(docs, ", ".join(more))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -308,21 +309,21 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
             made = [pa.array(first, pa.int64()), pa.array(second, pa.string()), pa.array(third, pa.string())] if digest else [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(m.split()[0] for m in more)])
 
-    return docs.mapInArrow(run, ", ".join([*fields, *more]))
+    return docs.mapInArrow(run, plus(docs, ", ".join(more)))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` plus decoded, from their column ids (array<int>); null ids give null."""
-    names = load(path).names
-    fields = [f"`{c.replace('`', '``')}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns]
+    rows = without(rows, "decoded string")
     at = rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = load(path).names
         for batch in batches:
             text = [None if ids is None else " ".join(names[i] for i in ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "decoded string"]))
+    return rows.mapInArrow(run, plus(rows, "decoded string"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,12 @@ The index has two parts, both sharded by key hash and both written to the shared
 
 Only 128-bit key hashes are shuffled, never the lines. A null or empty text is one empty line. Rows
 with a null doc_id sort before all others and own keys like any other document; rows that repeat a
-doc_id count as one document. Extra columns are ignored. An empty table gives an empty result.
+doc_id count as one document. Extra columns stay, except that one
+with the name of a result column is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import as_bytes, blocks, materialize
+from tokenloom.llm._common import as_bytes, blocks, materialize, plus, without
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 200_000
@@ -206,12 +206,12 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with columns n_lines, n_dropped and kept_text added."""
+        out = "n_lines long, n_dropped long, kept_text string"
+        docs = without(docs, out)
         other = [c for c in docs.columns if c not in ("doc_id", "text")]
         joined = docs.join(self.drops(), "doc_id", "left")
-        joined = joined.select("doc_id", "text", *other, F.col("lost.hi").alias("_hi"), F.col("lost.lo").alias("_lo"))
+        joined = joined.select("doc_id", "text", *(F.col(f"`{c}`") for c in other), F.col("lost.hi").alias("_hi"), F.col("lost.lo").alias("_lo"))
         min_chars = self.min_chars
-        out = "n_lines long, n_dropped long, kept_text string"
-        fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", "text", *other]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches):
@@ -230,7 +230,7 @@ class LineIndex:
                     kept.append(b"\n".join(stay))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*batch.schema.names[:-2], "n_lines", "n_dropped", "kept_text"])
 
-        return joined.mapInArrow(run, ", ".join([*fields, out]))
+        return joined.mapInArrow(run, plus(docs.select("doc_id", "text", *other), out))
 
 
 def _shard(shards: int):
@@ -282,7 +282,7 @@ def _shrunk(filters: DataFrame, gone: DataFrame, shards: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Deduplicate the lines of all documents: ``docs`` plus n_lines, n_dropped and kept_text."""
-    return LineIndex.build(docs.select("doc_id", "text"), min_chars).apply(docs)
+    return LineIndex.build(docs, min_chars).apply(docs)
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -290,10 +290,6 @@ def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-def digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
-
-
 SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 ORACLE = f"""
 WITH lines AS (

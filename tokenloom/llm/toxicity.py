@@ -19,7 +19,8 @@ at least the threshold that gives the best F1 on out-of-fold predictions.
 
 Null or empty texts have the prior probabilities and count as not toxic. Rows with null doc_id or null
 labels aren't used for fitting; where a doc_id is labelled twice, the first by label order counts. With
-no usable labels, or none positive, all probabilities are 0 and nothing is toxic. Extra columns stay.
+no usable labels, or none positive, all probabilities are 0 and nothing is toxic. Extra columns stay, except that one
+with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import blocks, documents
+from tokenloom.llm._common import blocks, documents, plus, without
 
 MOST_LABELLED = 4000
 MOST_LANGUAGES = 16
@@ -224,10 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chai
     return fit_chain([r.text for r in rows], chain, folds)
 
 
+RESULT = "p_toxic double, toxic boolean, categories string"
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` plus p_toxic double, toxic boolean and categories string (name=probability, ...)."""
+    docs = without(docs, RESULT)
     names = chain.names
-    fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +256,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             text = [", ".join(f"{a}={b:.4f}" for a, b in zip(names, row)) for row in p.tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, -1]), pa.array(toxic), pa.array(text, pa.string())], [*batch.schema.names, "p_toxic", "toxic", "categories"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "p_toxic double", "toxic boolean", "categories string"]))
+    return docs.mapInArrow(run, plus(docs, RESULT))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    docs = docs.drop("p_toxic", "toxic", "categories")
     return score(docs, train(docs, labels))
 
 
