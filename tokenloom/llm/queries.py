@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import bpe_automaton, html_extraction, line_dedup, near_dedup, packing, quality_rules, simhash, toxicity
+from tokenloom.llm import bpe_automaton, chat_format, html_extraction, line_dedup, near_dedup, packing, quality_rules, simhash, toxicity
 from tokenloom.llm._common import documents
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe_automaton": bpe_automaton.op4,
     "op5_line_dedup": lambda spark, sf_dir: line_dedup.op5(spark, documents(spark, sf_dir)),
     "op6_best_fit_packing": packing.op6,
+    "op7_tool_call_linking": chat_format.op7,
     "op8_simhash": lambda spark, sf_dir: simhash.op8(spark, documents(spark, sf_dir)),
     "op9_toxicity": toxicity.op9,
     "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10(spark, documents(spark, sf_dir)),
