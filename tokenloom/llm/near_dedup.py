@@ -5,7 +5,7 @@ ASCII white space); with fewer words, the whole sequence is its one shingle; wit
 empty and linked with nothing. Two documents are linked when ``100 * |A n B| >= threshold * |A u B|``.
 
 1. Equal sets become one class. Each document gives one row: id, set size, a 128-bit hash of its set,
-   minwise tokens (``trees * depth``) and a sketch of 64 bytes. The copies of a class are never paired.
+   minwise tokens (``trees * depth``) and a sketch of 32 bytes. The copies of a class are never paired.
 2. In each of ``trees`` independent trees a class walks down the path of its chosen minwise tokens. A
    node of at most ``leaf`` classes is compared exhaustively by sketch; a larger one is branched by the
    next token and, since its classes agree on all tokens so far, also linked as a star around its
@@ -40,9 +40,9 @@ WIDTH = 3
 TREES = 14
 DEPTH = 5
 LEAF = 24
-SKETCH = 64
-#: Of 64 sketch bytes so many must agree: 4.5 standard deviations below the mean at the threshold.
-AGREE = 41
+SKETCH = 32
+#: Of the sketch's bytes so many must agree: 4.5 standard deviations below the mean at the threshold.
+AGREE = 18
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -128,7 +128,6 @@ def _token(column: str, at):
 
 def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, of ``classes`` (id, path, sketch)."""
-    spark = classes.sparkSession
 
     def enter(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,62 +156,92 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf:
         return run
 
     schema = "id long, node long, path binary, sketch binary"
+    sketches = classes.select(F.col("id").alias("low"), F.col("sketch").alias("low_sketch"))
     found: DataFrame | None = None
-    level_rows = classes.select("id", "path", "sketch")
-    for level in range(depth):
-        rows = level_rows.mapInArrow(enter(level), schema)
+    rows = classes.select("id", "path", "sketch").mapInArrow(enter(0), schema)
+    for level in range(depth + 1):
         size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-        rows = materialize(rows.join(size, "node"), "near-nodes")
-        small = rows.where(F.col("n") <= leaf).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-        large = rows.where(F.col("n") > leaf)
-        pairs = _pairs_in_nodes(small).unionByName(large.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+        met = materialize(rows.join(size.hint("merge"), "node"), "near-nodes")
+        large = met.where(F.col("n") > leaf)
+        small = met.where(F.col("n") <= leaf).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
+        stars = large.where("id <> low").select("low", "id", "sketch").join(sketches.join(large.select("low").distinct(), "low", "left_semi"), "low")
+        pairs = _pairs_in_nodes(small).unionByName(_alike(stars))
         found = pairs if found is None else found.unionByName(pairs)
-        level_rows = large.select("id", "node", "path", "sketch")
+        if level < depth - 1:
+            rows = large.select("id", "node", "path", "sketch").mapInArrow(enter(level + 1), schema)
+        elif level == depth - 1:
+            # nodes still large are near copies of one another: one more branching, by bands of the sketch
+            bands = [F.xxhash64("node", F.lit(k), F.substring("sketch", 1 + 4 * k, 4)) for k in range(SKETCH // 4)]
+            rows = large.select("id", F.explode(F.array(*bands)).alias("node"), "path", "sketch")
         if not large.limit(1).count():
-            return found.distinct()
-    # nodes that stay large: near copies of one another; neighbours in the order of 16 sketch bands
-    bands = [F.xxhash64("node", F.lit(k), F.substring("sketch", 1 + 4 * k, 4)) for k in range(SKETCH // 4)]
-    rows = level_rows.withColumn("node", F.explode(F.array(*bands))).select("id", "node", "sketch")
-    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-    rows = materialize(rows.join(size, "node"), "near-nodes")
-    small = rows.where(F.col("n") <= leaf).groupBy("node").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-    found = found.unionByName(_pairs_in_nodes(small)).unionByName(rows.where((F.col("n") > leaf) & (F.col("id") != F.col("low"))).select(F.col("low").alias("a"), F.col("id").alias("b")))
-    assert spark
+            break
     return found.distinct()
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) that are linked; ``sets`` has id and tokens (sorted 64-bit hashes as bytes)."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+def _alike(stars: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``stars`` (low, id, sketch, low_sketch) whose sketches agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= threshold * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            own, low = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((own == low).sum(1) >= AGREE)).rename_columns(["a", "b"])
+
+    return stars.select("low", "id", "sketch", "low_sketch").mapInArrow(run, "a long, b long")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of class representatives that are linked, decided on full sets made from the texts.
+
+    Sets travel as 32-bit token hashes with the exact set size. Equal 32-bit hashes of different tokens can
+    only add to an intersection; pairs that would pass by at most SURE shared tokens go again with 64 bits.
+    """
+    first = _decide(pairs, docs, threshold, wide=False)
+    first = materialize(first, "near-decided")
+    unsure = first.where("NOT sure").select("a", "b")
+    return first.where("sure").select("a", "b").unionByName(_decide(unsure, docs, threshold, wide=True).select("a", "b"))
+
+
+SURE = 3
+
+
+def _decide(pairs: DataFrame, docs: DataFrame, threshold: int, wide: bool) -> DataFrame:
+    kind = np.uint64 if wide else np.uint32
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = token_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), wide)
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n"), F.col("tokens").alias("y"))
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "m", "n", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sure = [], []
+            for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                shared = 0
+                if 100 * min(m, n) >= threshold * max(m, n):
+                    both = np.concatenate([np.frombuffer(z.as_buffer(), kind) for z in (x, y)])
+                    both.sort(kind="stable")
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(100 * shared >= threshold * (m + n - shared))
+                shared -= 0 if wide else SURE
+                sure.append(100 * shared >= threshold * (m + n - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of the documents named in ``ids`` (id): id, tokens."""
+def token_sets(docs: DataFrame, wide: bool = True) -> DataFrame:
+    """Full sets of documents: id, n (set size), tokens (sorted distinct hashes, 8 or 4 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in blocks(batches):
-            sets = [shingles(hashes.of(text.lower().split())).tobytes() for text in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"])
+            sets = [shingles(hashes.of(text.lower().split())) for text in as_bytes(batch.column(1))]
+            n = [len(s) for s in sets]
+            if not wide:
+                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "tokens"])
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
-    return wanted.select("id", "text").mapInArrow(run, "id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, tokens binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,11 +283,10 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, trees: int = TREES,
     # copies: one row a class; combines before the shuffle
     classes = materialize(named.groupBy("set").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size"), F.first("path").alias("path"), F.first("sketch").alias("sketch")), "near-classes")
     pairs = materialize(candidates(classes.select("id", "path", "sketch"), trees, depth, leaf), "near-pairs")
-    sets = materialize(token_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "near-sets")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(confirm(first, sets, threshold), "near-links")
-    rest = _labelled(pairs.join(first, ["a", "b"], "left_anti"), components(links)).where("ca <> cb").select("a", "b")
-    links = links.unionByName(confirm(rest, sets, threshold))
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
+    links = materialize(confirm(first, docs, threshold), "near-links")
+    rest = materialize(_labelled(pairs.join(first, ["a", "b"], "left_anti"), components(links)).where("ca <> cb").select("a", "b"), "near-rest")
+    links = links.unionByName(confirm(rest, docs, threshold))
     label = components(links)
     member = classes.join(label, "id", "left").select("set", F.col("id").alias("class_id"), "class_size", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set").join(member, "set", "left")
