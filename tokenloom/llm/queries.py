@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import bpe_automaton, chat_format, html_extraction, line_dedup, near_dedup, packing, quality_rules, simhash, toxicity
+from tokenloom.llm import bpe_automaton, chat_format, html_extraction, line_dedup, lm_scoring, near_dedup, packing, quality_rules, simhash, toxicity
 from tokenloom.llm._common import documents
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_html_extraction": html_extraction.op3,
     "op4_bpe_automaton": bpe_automaton.op4,
