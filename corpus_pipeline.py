@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import line_dedup, near_dedup, packing, quality_rules, toxicity
 from tokenloom.llm._common import documents, materialize
+from tokenloom.session import ship
 
 
 def _columns(docs: DataFrame) -> list:
@@ -57,6 +58,7 @@ STAGES = [("quality rules", quality), ("toxicity", toxic), ("line dedup", lines)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
