@@ -2,5 +2,452 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.functions import morphology, text
+from tokenloom.functions.text import ALPHABET
+from tokenloom.operators import bpe, counting, encode, lp, sampling, unigram, vocabulary
+from tokenloom.plans import sql
+from tokenloom.session import materialize
+from tokenloom.sources import readers
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+VOCABULARY = 4096
+SEED = 42
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _counts(spark, sf_dir, mode="nanochat") -> DataFrame:
+    return counting.pretoken_counts(_read(spark, sf_dir), mode)
+
+
+# Counting
+
+
+@query(f"WITH {sql.counts()}, {sql.ALPHABET_TABLE}, ranked AS (SELECT pretoken, row_number() OVER (ORDER BY frequency DESC, pretoken) AS r FROM pretok WHERE pretoken NOT IN (SELECT token FROM alphabet)) SELECT id::BIGINT AS id, token FROM alphabet UNION ALL SELECT (r + 255)::BIGINT, pretoken FROM ranked WHERE r <= {VOCABULARY - 256}")
+def frequent_vocabulary(spark, sf_dir):
+    return vocabulary.frequent(_counts(spark, sf_dir), VOCABULARY)
+
+
+@query(f"WITH {sql.counts()} SELECT * FROM pretok")
+def pretoken_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query(f"WITH {sql.counts(mode='apertus')} SELECT * FROM pretok")
+def pretoken_counts_apertus(spark, sf_dir):
+    return _counts(spark, sf_dir, "apertus")
+
+
+@query(f"WITH {sql.counts(mode='split_bytelevel')} SELECT * FROM pretok")
+def pretoken_counts_bytelevel(spark, sf_dir):
+    return _counts(spark, sf_dir, "split_bytelevel")
+
+
+@query(f"WITH {sql.counts('conversations')} SELECT * FROM pretok")
+def pretoken_counts_conversations(spark, sf_dir):
+    return counting.pretoken_counts(_read(spark, sf_dir, "conversations"))
+
+
+@query("SELECT count(text) AS texts, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents")
+def corpus_size(spark, sf_dir):
+    return counting.corpus_size(_read(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
+def source_counts(spark, sf_dir):
+    return _read(spark, sf_dir).groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT * FROM candidates")
+def candidate_counts(spark, sf_dir):
+    return counting.candidate_counts(_counts(spark, sf_dir))
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT token, count FROM candidates WHERE length(token) <= 6 AND count > 20")
+def candidate_counts_capped(spark, sf_dir):
+    return counting.candidate_counts(_counts(spark, sf_dir), more_than=20, most=6)
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT (SELECT count(*) FROM occurrences)::BIGINT AS raw_edges, (SELECT sum(length(pretoken)) FROM pretok)::BIGINT AS free_edges, (SELECT sum(length(pretoken) + 1) FROM pretok)::BIGINT AS vertices")
+def raw_graph_size(spark, sf_dir):
+    return counting.raw_graph_size(_counts(spark, sf_dir))
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT (count // 100 * 100)::BIGINT AS bucket, count(*) AS tokens FROM candidates GROUP BY 1")
+def candidate_histogram(spark, sf_dir):
+    return counting.histogram(counting.candidate_counts(_counts(spark, sf_dir)), 100)
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT (row_number() OVER (ORDER BY token) - 1)::BIGINT AS token_id, token, count FROM candidates")
+def token_ids(spark, sf_dir):
+    return counting.token_ids(counting.candidate_counts(_counts(spark, sf_dir)))
+
+
+@query(f"""WITH {sql.counts()}, {sql.CANDIDATES},
+kept AS (SELECT pretoken, count(*) AS edges FROM occurrences JOIN candidates USING (token) GROUP BY pretoken),
+rows AS (SELECT pretoken, frequency, length(pretoken) AS n, coalesce(edges, 0) AS edges FROM pretok LEFT JOIN kept USING (pretoken)),
+win AS (SELECT *, row_number() OVER (ORDER BY pretoken) - 1 AS i, sum(n + 1) OVER w AS v, sum(n) OVER w AS f, sum(edges) OVER w AS e FROM rows
+  WINDOW w AS (ORDER BY pretoken ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pretoken, frequency, (n + 1)::BIGINT AS vertices, n::BIGINT AS free_edges, edges::BIGINT AS edges, i::BIGINT AS pretoken_id,
+  coalesce(v, 0)::BIGINT AS vertex_offset, coalesce(f, 0)::BIGINT AS free_offset, coalesce(e, 0)::BIGINT AS edge_offset FROM win""")
+def graph_summary(spark, sf_dir):
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    tokens = counting.token_ids(counting.candidate_counts(counts))
+    return counting.graph_summary(counts, counting.edges(counts, tokens))
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT token, min(s)::BIGINT AS first_start, max(e)::BIGINT AS last_end, count(*) AS edges, sum(frequency)::BIGINT AS weight FROM occurrences JOIN candidates USING (token) GROUP BY token")
+def token_edges(spark, sf_dir):
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    tokens = counting.token_ids(counting.candidate_counts(counts))
+    made = counting.edges(counts, tokens)
+    return made.groupBy("token").agg(F.min("start").cast("long").alias("first_start"), F.max("end").cast("long").alias("last_end"), F.count("*").alias("edges"), F.sum("frequency").alias("weight"))
+
+
+def _symbols(counts: DataFrame) -> DataFrame:
+    return counts.select(F.filter(F.split("pretoken", ""), lambda c: c != "").alias("symbols"), "frequency")
+
+
+@query(f"""WITH {sql.counts()},
+chars AS (SELECT pretoken, frequency, i, substr(pretoken, i, 1) AS l, substr(pretoken, i + 1, 1) AS r FROM (SELECT *, unnest(range(1, length(pretoken))) AS i FROM pretok)),
+breaks AS (SELECT *, sum(CASE WHEN l = r THEN 0 ELSE 1 END) OVER (PARTITION BY pretoken ORDER BY i) AS g FROM chars),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pretoken, g, l = r ORDER BY i) AS k FROM breaks),
+each AS (SELECT pretoken, l, r, sum(frequency) AS c FROM placed WHERE l <> r OR k % 2 = 1 GROUP BY pretoken, l, r)
+SELECT l AS left, r AS right, sum(c)::BIGINT AS count, count(*) AS sequences FROM each GROUP BY l, r""")
+def pair_counts(spark, sf_dir):
+    return counting.pair_counts(_symbols(_counts(spark, sf_dir)))
+
+
+@query(f"WITH {sql.counts()} SELECT substr(pretoken, i, 1) AS symbol, sum(frequency)::BIGINT AS count FROM (SELECT *, unnest(range(1, length(pretoken) + 1)) AS i FROM pretok) GROUP BY 1")
+def single_counts(spark, sf_dir):
+    return counting.single_counts(_symbols(_counts(spark, sf_dir)))
+
+
+@query(f"WITH {sql.counts()} SELECT sum(CASE WHEN length(pretoken) = 1 THEN frequency ELSE 0 END)::BIGINT AS whole_words, sum(frequency)::BIGINT AS words FROM pretok")
+def whole_words(spark, sf_dir):
+    return counting.whole_words(_symbols(_counts(spark, sf_dir)))
+
+
+# Text
+
+
+@query(f"WITH {sql.counts()} SELECT pretoken, lower(hex(encode(w))) AS hex, w AS text FROM (SELECT w, {sql.byte_level('w')} AS pretoken FROM distinct_words)")
+def byte_symbols(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    return counts.select("pretoken", text.to_hex(F.col("pretoken")).alias("hex"), text.from_byte_level(F.col("pretoken")).alias("text"))
+
+
+@query("SELECT doc_id, length(text) > 0 AS has_text, CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 57) || '...' END AS short, replace(substr(text, 1, 80), chr(10), '\\n') AS preview FROM documents WHERE text IS NOT NULL")
+def rendered_texts(spark, sf_dir):
+    docs = _read(spark, sf_dir).where("text IS NOT NULL")
+    return docs.select("doc_id", text.has_text(F.col("text")).alias("has_text"), text.truncate(F.col("text"), 60).alias("short"), text.preview(F.col("text")).alias("preview"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(replace(text, ',', ''), ' ') AS b FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, a, b, unnest(range(0, greatest(len(a), len(b)))) AS k FROM w),
+d AS (SELECT doc_id, min(k) AS k FROM i WHERE a[k + 1] IS DISTINCT FROM b[k + 1] GROUP BY doc_id)
+SELECT doc_id, k::INTEGER AS first_difference FROM w LEFT JOIN d USING (doc_id)""")
+def first_differences(spark, sf_dir):
+    docs = _read(spark, sf_dir).where("text IS NOT NULL")
+    words = lambda c: F.split(c, " ")
+    return docs.select("doc_id", text.first_difference(words(F.col("text")), words(F.replace("text", F.lit(","), F.lit("")))).alias("first_difference"))
+
+
+@query(f"WITH {sql.counts()} SELECT pretoken, regexp_full_match(pretoken, '[0-9]+') AS all_digits, regexp_matches(pretoken, '^Ġ?[A-Za-z]') AS can_supermerge FROM pretok")
+def merge_tests(spark, sf_dir):
+    return _counts(spark, sf_dir).select("pretoken", text.all_digits(F.col("pretoken")).alias("all_digits"), text.can_supermerge(F.col("pretoken")).alias("can_supermerge"))
+
+
+#: A span every three characters stands for a morphological analysis.
+@query(f"""WITH {sql.counts()}, {sql.CANDIDATES},
+e AS (SELECT token, frequency, s, e, length(pretoken) AS n FROM occurrences JOIN candidates USING (token) WHERE length(pretoken) % 3 = 0),
+p AS (SELECT token, frequency, (2.0 * least(s % 3, 3 - s % 3) + 2.0 * least(e % 3, 3 - e % 3)) / 3 AS penalty FROM e)
+SELECT token, count(*) AS edges, sum(CASE WHEN penalty > 0 THEN 1 ELSE 0 END)::BIGINT AS penalised, round(sum(penalty), 6) AS total FROM p GROUP BY token""")
+def morphology_penalties(spark, sf_dir):
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    tokens = counting.candidate_counts(counts)
+    rows = counting.occurrences(counts.where(F.length("pretoken") % 3 == 0)).join(tokens.select("token"), "token", "left_semi")
+    spans = F.transform(F.sequence(F.lit(0), F.length("pretoken") - 3, F.lit(3)), lambda s: F.struct(s.alias("left"), (s + 3).alias("right")))
+    penalty = text.edge_penalty(F.col("start"), F.col("end"), F.array(spans))
+    return rows.select("token", penalty.alias("penalty")).groupBy("token").agg(F.count("*").alias("edges"), F.count_if(F.col("penalty") > 0).alias("penalised"), F.round(F.sum("penalty"), 6).alias("total"))
+
+
+# Sources
+
+
+@query("SELECT page_id, url AS text FROM pages")
+def inferred_text_column(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    name = readers.text_column(pages.schema)
+    return pages.select("page_id", F.col(name).cast("string").alias("text"))
+
+
+@query("SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'conversations', text FROM conversations")
+def united_corpus(spark, sf_dir):
+    parts = [readers.as_text(_read(spark, sf_dir, t)).select(F.lit(t).alias("source"), "text") for t in ("documents", "benchmark", "conversations")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+
+_names = lambda x: "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in x) + "]"
+
+
+@query(f"""SELECT 'Row ' || lpad(id::VARCHAR, 4, '0') || ' of run_' || (id % 37) || ' is about ' || ({_names(readers._SUBJECTS)})[id % 7 + 1] || '.' || chr(10) || 'Score ' || ((id * 17) % 101) || '.' || (id % 10)
+|| '; shard-' || (id % 5) || ' = f(x_' || (id % 23) || ') ' || chr(9) || '  ' || ({_names(readers._SAMPLES)})[id % 6 + 1] || chr(10) || 'End ' || (id % 11) || chr(9) || '!' AS text, id AS document_id FROM (SELECT unnest(range(0, 256)) AS id)""")
+def tiny_corpus(spark, sf_dir):
+    return readers.tiny_corpus(spark)
+
+
+# Sampling
+
+
+@query("""WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT source FROM documents)),
+q AS (SELECT source, 150 // k + CASE WHEN i < 150 % k THEN 1 ELSE 0 END AS quota FROM s),
+r AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE length(trim(text, chr(32)||chr(9)||chr(10)||chr(13))) > 0)
+SELECT source, doc_id, rank::INTEGER AS rank FROM r JOIN q USING (source) WHERE rank <= quota""")
+def first_rows(spark, sf_dir):
+    docs = _read(spark, sf_dir)
+    sources = [r.source for r in docs.select("source").distinct().orderBy("source").collect()]
+    return sampling.first_rows(docs, sampling.equal_quotas(sources, 150)).select("source", "doc_id", "rank")
+
+
+@query(f"SELECT doc_id, source FROM documents ORDER BY {sql.md5(SEED, 'doc_id')}, doc_id LIMIT 100")
+def hash_sample(spark, sf_dir):
+    return sampling.hash_sample(_read(spark, sf_dir), 100, SEED).select("doc_id", "source")
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY {sql.md5(SEED, 'source')}, source LIMIT 4) ORDER BY {sql.md5(SEED, 'doc_id')}, doc_id LIMIT 60")
+def two_tier_sample(spark, sf_dir):
+    return sampling.two_tier_sample(_read(spark, sf_dir), 4, 60, SEED).select("doc_id", "source")
+
+
+@query(f"""WITH f AS (SELECT source, row_number() OVER (ORDER BY {sql.md5(SEED, 'source')}, source) - 1 AS k FROM (SELECT DISTINCT source FROM documents)),
+r AS (SELECT source, k, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(({SEED} + k * 1000003)::VARCHAR || ':' || doc_id), doc_id) AS rank FROM documents JOIN f USING (source) WHERE k < 5)
+SELECT source, k::INTEGER AS file_number, doc_id, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def per_file_sample(spark, sf_dir):
+    return sampling.per_file_sample(_read(spark, sf_dir), 5, 5, SEED).select("source", "file_number", "doc_id", "rank")
+
+
+@query(f"""WITH d AS (SELECT (['a', 'b', 'c'])[floor({sql.uniform(sql.md5(SEED, 'i'))} * 3)::INT + 1] AS source FROM (SELECT unnest(range(0, 500)) AS i))
+SELECT s.source, count(d.source) AS rows FROM (VALUES ('a'), ('b'), ('c')) s(source) LEFT JOIN d ON d.source = s.source GROUP BY s.source""")
+def draw_counts(spark, sf_dir):
+    return sampling.draw_counts(spark, ["a", "b", "c"], 500, SEED)
+
+
+@query(f"""WITH docs AS (SELECT lang AS source, source AS file, doc_id FROM documents),
+sizes AS (SELECT source, file, count(*) AS size FROM docs GROUP BY ALL),
+files AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY file) - 1 AS place, count(*) OVER (PARTITION BY source) AS files FROM sizes),
+tries AS (SELECT source, files, unnest(range(0, 200)) AS draw FROM (SELECT DISTINCT source, files FROM files)),
+hit AS (SELECT t.source, draw, file, size FROM tries t JOIN files f ON t.source = f.source AND f.place = floor({sql.uniform(sql.md5(SEED, 't.source', 'draw'))} * t.files)),
+used AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hit),
+taken AS (SELECT *, least(size, 40 - before) AS take FROM used WHERE before < 40),
+r AS (SELECT d.source, d.file, draw, doc_id, take, row_number() OVER (PARTITION BY d.source, draw ORDER BY {sql.md5(SEED, 'd.source', 'draw', 'doc_id')}, doc_id) AS rank FROM docs d JOIN taken t ON d.source = t.source AND d.file = t.file)
+SELECT source, file, draw::INTEGER AS draw, doc_id, rank::INTEGER AS rank FROM r WHERE rank <= take""")
+def draw_sample(spark, sf_dir):
+    docs = _read(spark, sf_dir).select(F.col("lang").alias("source"), F.col("source").alias("file"), "doc_id")
+    counts = docs.select("source").distinct().withColumn("rows", F.lit(40).cast("long"))
+    return sampling.draw_sample(docs, counts, SEED, draws=200).select("source", "file", "draw", "doc_id", "rank")
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, p, unnest([0, 1]) AS replica FROM p),
+i AS (SELECT doc_id, replica, unnest(p) AS w, unnest(range(0, len(p))) AS k FROM r),
+t AS (SELECT doc_id, replica, string_agg(w, ' ' ORDER BY k) AS text FROM i WHERE {sql.uniform(sql.md5(SEED, 'replica', 'doc_id', 'k'))} < 0.5 GROUP BY ALL)
+SELECT doc_id, replica::INTEGER AS replica, text FROM t WHERE length(trim(text)) > 0""")
+def thinned_texts(spark, sf_dir):
+    docs = _read(spark, sf_dir).where("text IS NOT NULL")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    return sampling.thin_tokens(docs, words, 0.5, 2, SEED)
+
+
+@query("WITH r AS (SELECT doc_id, coalesce(sum(coalesce(length(text), 0)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM documents) SELECT * FROM r WHERE chars_before < 500000")
+def char_cap(spark, sf_dir):
+    return sampling.char_cap(_read(spark, sf_dir), 500_000).select("doc_id", "chars_before")
+
+
+@query("WITH r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS chunk, length(text) AS n FROM documents) SELECT chunk::BIGINT AS chunk, count(*) AS rows, sum(n)::BIGINT AS chars FROM r GROUP BY 1")
+def corpus_chunks(spark, sf_dir):
+    made = sampling.chunks(_read(spark, sf_dir), 300)
+    return made.groupBy("chunk").agg(F.count("*").alias("rows"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+# Vocabularies
+
+_LP = f"""lp AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::BIGINT AS token_id, least(1.0, count / 3000.0) AS lp_value FROM candidates WHERE count > 50),
+{sql.ALPHABET_TABLE}"""
+
+
+def _values(spark, sf_dir) -> DataFrame:
+    """Values that stand for a solution: counts, scaled and capped at 1."""
+    ids = counting.token_ids(counting.candidate_counts(_counts(spark, sf_dir), 50))
+    return ids.select("token", "token_id", F.least(F.lit(1.0), F.col("count") / 3000.0).alias("lp_value"))
+
+
+def _rounded(key: str, where: str = "true", room: int | None = VOCABULARY - 256) -> str:
+    limit = "" if room is None else f"WHERE r <= {room}"
+    return f"""WITH {sql.counts()}, {sql.CANDIDATES}, {_LP}, ranked AS (SELECT token, row_number() OVER (ORDER BY {key}, token_id) AS r FROM lp WHERE {where})
+SELECT id::BIGINT AS id, token FROM alphabet UNION ALL SELECT (r + 255)::BIGINT, token FROM ranked {limit}"""
+
+
+@query(_rounded("lp_value DESC"))
+def rounding_deterministic(spark, sf_dir):
+    return vocabulary.deterministic(_values(spark, sf_dir), VOCABULARY, ALPHABET)
+
+
+@query(_rounded("lp_value / length(token) DESC", "lp_value > 0"))
+def rounding_biased(spark, sf_dir):
+    return vocabulary.biased(_values(spark, sf_dir), VOCABULARY, ALPHABET)
+
+
+@query(_rounded("lp_value DESC", "lp_value >= 0.99", None))
+def rounding_all_ones(spark, sf_dir):
+    return vocabulary.all_ones(_values(spark, sf_dir), ALPHABET)
+
+
+@query(f"""WITH {sql.counts()}, {sql.CANDIDATES}, {_LP},
+sure AS (SELECT token, row_number() OVER (ORDER BY lp_value DESC, token_id) AS r FROM lp WHERE lp_value > 0.99),
+rest AS (SELECT token, row_number() OVER (ORDER BY ln(lp_value) - ln(-ln({sql.uniform(sql.md5(SEED, 'token_id'))})) DESC, token_id) + (SELECT count(*) FROM sure) AS r FROM lp WHERE lp_value <= 0.99 AND lp_value > 0)
+SELECT id::BIGINT AS id, token FROM alphabet UNION ALL SELECT (r + 255)::BIGINT, token FROM (SELECT * FROM sure UNION ALL SELECT * FROM rest) WHERE r <= {VOCABULARY - 256}""")
+def rounding_probabilistic(spark, sf_dir):
+    return vocabulary.probabilistic(_values(spark, sf_dir), VOCABULARY, ALPHABET, SEED)
+
+
+@query(f"""WITH {sql.counts()}, {sql.CANDIDATES}, {_LP}
+SELECT count(*) FILTER (lp_value > 0.999) AS ones, count(*) FILTER (lp_value > 0.001) AS positive, round(sum(lp_value), 6) AS total FROM lp""")
+def value_counts(spark, sf_dir):
+    return lp.value_counts(_values(spark, sf_dir))
+
+
+_SAMPLES = f"""words AS (SELECT lang AS sample, unnest({sql.pieces('text')}) AS w FROM documents WHERE text IS NOT NULL),
+own AS (SELECT DISTINCT sample, {sql.byte_level('w')} AS token FROM (SELECT DISTINCT sample, w FROM words WHERE w <> ''))"""
+
+
+def _vocabularies(spark, sf_dir) -> DataFrame:
+    """The pretokens of each language, as vocabularies."""
+    words = _read(spark, sf_dir).select(F.col("lang").alias("sample"), F.explode(text.split("text")).alias("w")).where("w <> ''").distinct()
+    return words.select("sample", text.byte_level(F.col("w")).alias("token"))
+
+
+_PAIRS = """sizes AS (SELECT sample, count(*) AS n FROM own GROUP BY sample),
+shared AS (SELECT a.sample AS i, b.sample AS j, count(*) AS k FROM own a JOIN own b ON a.token = b.token AND a.sample < b.sample GROUP BY ALL),
+pairs AS (SELECT a.sample AS sample_i, b.sample AS sample_j, coalesce(k, 0) / (a.n + b.n - coalesce(k, 0)) AS jaccard FROM sizes a JOIN sizes b ON a.sample < b.sample LEFT JOIN shared ON i = a.sample AND j = b.sample)"""
+
+
+@query(f"WITH {_SAMPLES}, {_PAIRS} SELECT * FROM pairs UNION ALL SELECT sample_j, sample_i, jaccard FROM pairs UNION ALL SELECT sample, sample, 0.0 FROM sizes")
+def jaccard_matrix(spark, sf_dir):
+    return vocabulary.jaccard_matrix(vocabulary.jaccard_pairs(_vocabularies(spark, sf_dir)))
+
+
+@query(f"WITH {_SAMPLES}, {_PAIRS} SELECT round(avg(jaccard), 9) AS mean, min(jaccard) AS min, max(jaccard) AS max, count(*) AS pairs FROM pairs")
+def jaccard_summary(spark, sf_dir):
+    return vocabulary.jaccard_summary(vocabulary.jaccard_pairs(_vocabularies(spark, sf_dir)))
+
+
+@query(f"""WITH {_SAMPLES}, lens AS (SELECT sample, token, length(token) AS token_length FROM own),
+sizes AS (SELECT sample, token_length, count(*) AS n FROM lens GROUP BY ALL), names AS (SELECT DISTINCT sample FROM own), all_lengths AS (SELECT DISTINCT token_length FROM lens),
+shared AS (SELECT a.sample AS i, b.sample AS j, a.token_length AS l, count(*) AS k FROM lens a JOIN lens b ON a.token = b.token AND a.sample < b.sample GROUP BY ALL)
+SELECT x.sample AS sample_i, y.sample AS sample_j, t.token_length::INTEGER AS token_length, coalesce(k, 0) / (coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(k, 0)) AS jaccard
+FROM names x JOIN names y ON x.sample < y.sample CROSS JOIN all_lengths t
+LEFT JOIN sizes a ON a.sample = x.sample AND a.token_length = t.token_length LEFT JOIN sizes b ON b.sample = y.sample AND b.token_length = t.token_length
+LEFT JOIN shared ON i = x.sample AND j = y.sample AND l = t.token_length WHERE coalesce(a.n, 0) + coalesce(b.n, 0) > 0""")
+def jaccard_by_length(spark, sf_dir):
+    return vocabulary.jaccard_by_length(_vocabularies(spark, sf_dir))
+
+
+@query(f"""WITH docs AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS chunk FROM documents),
+words AS (SELECT chunk, unnest({sql.pieces('text')}) AS w FROM docs WHERE text IS NOT NULL), n AS (SELECT chunk, w, count(*) AS c FROM words WHERE w <> '' GROUP BY ALL)
+SELECT {sql.byte_level('w')} AS token, round(sum(least(1.0, c / 100.0)), 9) AS lp_value FROM n GROUP BY w""")
+def merged_chunks(spark, sf_dir):
+    parts = sampling.chunks(_read(spark, sf_dir), 300).select("chunk", F.explode(text.split("text")).alias("w")).where("w <> ''").groupBy("chunk", "w").agg(F.count("*").alias("c"))
+    values = parts.select(text.byte_level(F.col("w")).alias("token"), F.least(F.lit(1.0), F.col("c") / 100.0).alias("lp_value"))
+    return sampling.merge_chunks(values).withColumn("lp_value", F.round("lp_value", 9))
+
+
+# Encoding, training and comparison: checked by tests
+
+
+def _pretokens() -> F.Column:
+    return F.transform(text.split("text"), text.byte_level)
+
+
+@query()
+def encoded_documents(spark, sf_dir):
+    """Tokens of each document in a frequent vocabulary, by fewest tokens."""
+    docs = _read(spark, sf_dir)
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    encoded = encode.encode_words(counts, vocabulary.frequent(counts, VOCABULARY))
+    return encode.document_tokens(docs, _pretokens(), encoded)
+
+
+@query()
+def tokenization_report(spark, sf_dir):
+    """Frequent pretokens against BPE of the same size, for each distinct pretoken."""
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    tokens, _ = bpe.train(bpe.load_words(counts, 20_000), 1024)
+    other = spark.createDataFrame(list(enumerate(tokens)), "id long, token string")
+    left = encode.encode_words(counts, vocabulary.frequent(counts, 1024))
+    return encode.compare(left, encode.encode_words(counts, other))
+
+
+@query()
+def bpe_merges(spark, sf_dir):
+    tokens, merges = bpe.train(bpe.load_words(_counts(spark, sf_dir)), 2048, text.special_tokens("nanochat"))
+    first = len(tokens) - len(merges)
+    return spark.createDataFrame([(first + i, a, b) for i, (a, b) in enumerate(merges)], "id long, left string, right string")
+
+
+@query()
+def picky_bpe_events(spark, sf_dir):
+    made = bpe.Picky(bpe.load_words(_counts(spark, sf_dir)), tau=0.9)
+    made.train(1024)
+    return spark.createDataFrame([(i, *e) for i, e in enumerate(made.events)], "step long, event string, left string, right string")
+
+
+@query()
+def unigram_vocabulary(spark, sf_dir):
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    rows = unigram.train(counts, 1500, text.special_tokens("nanochat"), seeds=4000, most=8)
+    return spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(rows)], "id long, token string, score double")
+
+
+@query()
+def lp_vocabulary(spark, sf_dir):
+    """The linear program over the 4,000 most frequent pretokens of all, by choice of the solver's size."""
+    counts = materialize(vocabulary.best(_counts(spark, sf_dir), 4000, [F.desc("frequency"), F.asc("pretoken")]).drop("rank"), "counts")
+    tokens = counting.token_ids(counting.candidate_counts(counts))
+    graph = lp.load(counts, counting.edges(counts, tokens))
+    return lp.as_table(spark, graph, lp.solve(graph, 1024, rounds=200, tolerance=0.02))
+
+
+@query()
+def tokenizer_acceptance(spark, sf_dir):
+    specials = text.special_tokens("nanochat")
+    made = vocabulary.frequent(_counts(spark, sf_dir), 2048, [*specials, *ALPHABET])
+    return encode.acceptance(spark, made, specials, "<|unk|>")
+
+
+_LEMMAS = [["1", "then", *[""] * 19, "((th)[X],(en)[X])[N]"], ["2", "hendnt", *[""] * 19, "((hend)[V],(nt)[X])[N]"], ["3", "ontion", *[""] * 19, "((on)[P],(tion)[N])[N]"]]
+_FORMS = [["1", "theneding", "0", "1", "", "@+eding"], ["2", "hendntes", "0", "2", "", "@+es"], ["3", "Ontion", "0", "3", "", ""]]
+
+
+@query()
+def morphology_matches(spark, sf_dir):
+    lexicon = morphology.Lexicon().add(_LEMMAS, _FORMS)
+    return morphology.diagnostics(morphology.annotate(_counts(spark, sf_dir), lexicon))

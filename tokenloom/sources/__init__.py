@@ -1 +1 @@
-
+"""Readers, text-column choice and writers."""
