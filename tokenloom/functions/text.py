@@ -97,9 +97,9 @@ def has_text(text: Column) -> Column:
 
 def first_difference(left: Column, right: Column) -> Column:
     """Index of the first element in which two arrays differ or one has ended; null if they are equal."""
-    n = F.greatest(F.size(left), F.size(right))
-    differs = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~F.get(left, i).eqNullSafe(F.get(right, i)) & (i < n))
-    return F.get(differs, F.lit(0))
+    zipped = F.arrays_zip(left.alias("l"), right.alias("r"))
+    at = F.array_position(F.transform(zipped, lambda p: p["l"].eqNullSafe(p["r"])), F.lit(False))
+    return F.when(at > 0, (at - 1).cast("int"))
 
 
 def truncate(text: Column, width: int) -> Column:

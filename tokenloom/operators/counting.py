@@ -106,9 +106,10 @@ def runs(symbols: Column) -> Column:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(left, right, count, sequences) of adjacent symbols in ``words`` (symbols, frequency)."""
-    pairs = words.select("frequency", F.monotonically_increasing_id().alias("id"), F.explode(runs(F.col("symbols"))).alias("p"))
-    each = pairs.groupBy("id", F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("frequency").alias("count"))
-    return each.groupBy("left", "right").agg(F.sum("count").alias("count"), F.count("*").alias("sequences"))
+    found = words.select("frequency", runs(F.col("symbols")).alias("all"))
+    each = F.transform(F.array_distinct("all"), lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"), F.size(F.filter("all", lambda q: q == p)).alias("n")))
+    rows = found.select("frequency", F.explode(each).alias("p"))
+    return rows.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum(F.col("frequency") * F.col("p.n")).alias("count"), F.count("*").alias("sequences"))
 
 
 def single_counts(words: DataFrame) -> DataFrame:

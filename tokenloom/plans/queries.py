@@ -163,11 +163,11 @@ def rendered_texts(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(replace(text, ',', ''), ' ') AS b FROM documents WHERE text IS NOT NULL),
 i AS (SELECT doc_id, a, b, unnest(range(0, greatest(len(a), len(b)))) AS k FROM w),
 d AS (SELECT doc_id, min(k) AS k FROM i WHERE a[k + 1] IS DISTINCT FROM b[k + 1] GROUP BY doc_id)
-SELECT doc_id, k::INTEGER AS first_difference FROM w LEFT JOIN d USING (doc_id)""")
+SELECT doc_id, coalesce(k, -1)::INTEGER AS first_difference FROM w LEFT JOIN d USING (doc_id)""")
 def first_differences(spark, sf_dir):
     docs = _read(spark, sf_dir).where("text IS NOT NULL")
     words = lambda c: F.split(c, " ")
-    return docs.select("doc_id", text.first_difference(words(F.col("text")), words(F.replace("text", F.lit(","), F.lit("")))).alias("first_difference"))
+    return docs.select("doc_id", F.coalesce(text.first_difference(words(F.col("text")), words(F.replace("text", F.lit(","), F.lit("")))), F.lit(-1)).alias("first_difference"))
 
 
 @query(f"WITH {sql.counts()} SELECT pretoken, regexp_full_match(pretoken, '[0-9]+') AS all_digits, regexp_matches(pretoken, '^Ġ?[A-Za-z]') AS can_supermerge FROM pretok")
