@@ -7,8 +7,8 @@ shorter; no other is cut.
 Sequences are filled one after the other (Gupta and Ho, 1999): the longest piece left is placed, then a
 subset-sum dynamic program over bitsets, one bit for each fill level, finds the fullest combination of
 lengths available, which is removed. Only lengths matter to it, so it runs on a histogram of at most
-``capacity`` counters, and a combination that fits many times is taken many times at once (at most half as
-often as the counts allow, so that no length runs out early). Pieces then look up their place by their
+``capacity`` counters, and a combination that fits many times is taken many times at once (at most an eighth of
+what the counts allow, so that no length runs out early). Pieces then look up their place by their
 rank among the pieces of the same length: a rank is the number of such pieces in earlier hash buckets of
 doc_id plus the rank inside the bucket, so no length gathers in one task.
 
@@ -123,7 +123,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
         for n in chosen:
             times[n] = times.get(n, 0) + 1
         fits = min(counts[n] // k for n, k in times.items())
-        repeat = fits if times == {capacity: 1} else max(1, fits // 2)
+        repeat = fits if times == {capacity: 1} else max(1, fits // 8)
         at = 0
         for n, k in times.items():
             places.append((n, taken[n], taken[n] + k * repeat, k, sequences, at))
