@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -40,8 +42,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm._common import blocks, documents, plus, without
 
-WORDS_KEPT = 200_000
-DEAD = -1
+WORDS_KEPT = 250_000
+ARCS_KEPT = 500_000
+LITTLE = sys.byteorder == "little"
 
 
 class Automaton:
@@ -194,8 +197,10 @@ class Tokenizer:
         other = [b for b in range(256) if b not in set(plain)]
         self.symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.byte = {c: b for b, c in self.symbol.items()}
-        self.words: dict[str, tuple[list[int], str]] = {}
-        self.chunks: dict[str, tuple[list[int], str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.older_chunks: dict[str, tuple[bytes, str]] = {}
         self.rare = regex.compile("[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in _young()) + "]")
         self.path = path
         self.library = None
@@ -221,58 +226,64 @@ class Tokenizer:
         made = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.byte.__getitem__, w)).decode() for w, _ in made]
 
-    def word(self, word: str) -> tuple[list[int], str]:
-        """Ids of a word and their labels, joined."""
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids of a word (32 bits each) and their labels, joined."""
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            if len(self.automaton.table) > 3_000_000:
-                self.automaton.table.clear()
-            ids = self.automaton.encode("".join(map(self.symbol.__getitem__, word.encode())))
-            found = self.words[word] = (ids, " ".join(map(self.automaton.label.__getitem__, ids)))
+                self.words, self.older = {}, self.words
+            found = self.older.get(word)
+            if found is None:
+                if len(self.automaton.table) > ARCS_KEPT:
+                    self.automaton.table.clear()
+                ids = self.automaton.encode(word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.symbol))
+                found = (array("I", ids).tobytes(), " ".join([self.automaton.label[i] for i in ids]))
+            self.words[word] = found
         return found
 
-    def chunk(self, chunk: str) -> tuple[list[int], str]:
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The same for a chunk between spaces. Of both, a generation is dropped when the next one is full."""
         if len(self.chunks) >= 2 * WORDS_KEPT:
-            self.chunks.clear()
-        small = chunk.lower()
-        if max(chunk) > "\u0220":
-            words = self.split(chunk)
-        elif small.isalpha():
-            words = [small]
-        elif small[-1] in ".,!?;:" and small[:-1].isalpha():
-            words = [small[:-1], small[-1]]
-        else:
-            words = self.split(chunk)
-        if len(words) == 1:
-            found = self.word(words[0])
-        else:
-            parts = [self.word(w) for w in words]
-            found = ([i for ids, _ in parts for i in ids], " ".join(label for _, label in parts))
+            self.chunks, self.older_chunks = {}, self.chunks
+        found = self.older_chunks.get(chunk)
+        if found is None:
+            small = chunk.lower()
+            if max(chunk) > "\u0220":
+                words = self.split(chunk)
+            elif small.isalpha():
+                words = [small]
+            elif small[-1] in ".,!?;:" and small[:-1].isalpha():
+                words = [small[:-1], small[-1]]
+            else:
+                words = self.split(chunk)
+            if len(words) == 1:
+                found = self.word(words[0])
+            else:
+                parts = [self.word(w) for w in words]
+                found = (b"".join([ids for ids, _ in parts]), " ".join([label for _, label in parts]))
         self.chunks[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids of a text, and the text that decoding them gives."""
-        ids: list[int] = []
-        labels: list[str] = []
-        at = 0
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a text (32 bits each), and the text that decoding them gives."""
         cuts = [*self.cutter.finditer(text)] if self.cutter and "<|" in text else []
+        found: list[tuple[bytes, str]] = []
+        at = 0
         for cut in [*cuts, None]:
             part = text[at : cut.start() if cut else None] if cuts else text
             # no word has white space inside, and a space composes with nothing
-            for chunk in part.replace("\n", " ").split(" "):
-                if chunk:
-                    found = self.chunks.get(chunk) or self.chunk(chunk)
-                    if found[0]:
-                        ids += found[0]
-                        labels.append(found[1])
+            get, miss = self.chunks.get, self.chunk
+            for c in part.replace("\n", " ").split(" "):
+                if c:
+                    f = get(c)
+                    if f is None:
+                        f = miss(c)
+                        get = self.chunks.get
+                    found.append(f)
             if cut:
-                ids.append(self.special[cut.group()])
-                labels.append(cut.group())
+                found.append((array("I", [self.special[cut.group()]]).tobytes(), cut.group()))
                 at = cut.end()
-        return ids, " ".join(labels)
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.names[i] for i in ids)
@@ -300,11 +311,11 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
             for text in batch.column(at).to_pylist():
                 ids, decoded = tokenizer.encode(text or "")
                 if digest:
-                    first.append(len(ids))
-                    second.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    first.append(len(ids) // 4)
+                    second.append(hashlib.sha256(ids if LITTLE else np.frombuffer(ids, np.uint32).astype("<u4").tobytes()).hexdigest())
                     third.append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
-                    first.append(ids)
+                    first.append(np.frombuffer(ids, np.uint32).astype(np.int32))
                     second.append(decoded)
             made = [pa.array(first, pa.int64()), pa.array(second, pa.string()), pa.array(third, pa.string())] if digest else [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(m.split()[0] for m in more)])
