@@ -49,11 +49,14 @@ def test_edges(spark):
 
 def test_probabilities_sum_to_one():
     """Over all continuations of one byte; the mixer predicts bits, so this holds by construction."""
-    mixer = L.Mixer(np.random.default_rng(0).integers(0, 9, (L.SLOTS, 2)).astype(np.float32))
+    mixer = L.Mixer(*np.random.default_rng(0).integers(0, 9, (2, L.SLOTS)).astype(np.float32))
     mixer.refine = np.random.default_rng(1).integers(0, 50, mixer.refine.shape).astype(float)
     mixer.prepare()
     data = np.arange(256, dtype=np.uint8)
-    odds, gate, partial = mixer.inputs(data, np.arange(256), np.zeros(256, int))
+    context, byte, where = L.contexts(data, np.arange(256), np.zeros(256, int))
+    assert (byte[where] == data).all()
+    data, partial = byte, L.partial_bytes(byte)
+    odds, gate = mixer.inputs(context, partial)
     z = mixer.mixed(odds, gate).astype(float)
     p = 1 / (1 + np.exp(-z))
     at = mixer.cell(mixer.mixed(odds, gate), partial)
@@ -65,17 +68,19 @@ def test_probabilities_sum_to_one():
 def test_learning_lowers_the_cost():
     words = sorted({w.encode() for w in prose(1, 3000, 300).split()})
     n = np.arange(1, len(words) + 1)
-    counts = np.zeros((L.SLOTS, 2), np.float32)
+    counts = np.zeros((2, L.SLOTS), np.float32)
     data, starts = L.spelled(words)
-    context, partial, bits = L.contexts(data, starts, np.zeros(len(words), int)), L.partial_bytes(data), L.bits_of(data)
+    context, byte, where = L.contexts(data, starts, np.zeros(len(words), int))
+    partial, bits = L.partial_bytes(byte)[where], L.bits_of(data)
     times = np.repeat(np.repeat(n, np.diff(np.append(starts, len(data)))), 8)
     for k in range(L.PREDICTORS):
-        np.add.at(counts.reshape(-1), ((L.slot(k, context, partial).astype(np.int64) + L.FIRST_SLOT[k]) * 2 + bits).reshape(-1), times)
+        at = L.slot(k, context[:, where], partial).astype(np.int64) + L.FIRST_SLOT[k]
+        np.add.at(counts, (bits.reshape(-1).astype(int), at.reshape(-1)), times)
     cost = []
     for rounds in (0, 3):
-        mixer = L.Mixer(counts)
+        mixer = L.Mixer(*counts)
         for _ in range(rounds):
-            for part in L.spell_blocks(words, 512):
+            for part in L.spell_blocks(words, 1024):
                 mixer.learn(words[part], np.zeros(len(words[part]), int), n[part])
         mixer.prepare()
         cost.append((mixer.log10(words, np.zeros(len(words), int)) * n).sum())
