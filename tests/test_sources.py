@@ -31,8 +31,8 @@ def test_text_column():
 
 
 def corpus(spark, base):
-    spark.createDataFrame([("py",), (None,)], "content string").write.parquet(f"{base}/starcoder/x")
-    spark.createDataFrame([("w1", 1), ("w2", 2)], "text string, n int").write.parquet(f"{base}/fineweb")
+    spark.createDataFrame([("py",), (None,)], "content string").coalesce(1).write.parquet(f"{base}/starcoder/x")
+    spark.createDataFrame([("w1", 1), ("w2", 2)], "text string, n int").coalesce(1).write.parquet(f"{base}/fineweb")
 
 
 def test_corpus_folders(spark, tmp_path):

@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             made = bpe.Picky(bpe.load_words(counts))
             tokens = made.train(size - len(specials))
-            writers.save_model(f"{a.out}/picky_{size}.model", "pickybpe", "|".join(SPLITS[a.mode]), tokens, {s: len(tokens) + i for i, s in enumerate(specials)}, made.events)
+            writers.save_model(f"{a.out}/picky_{size}.model", "word", "|".join(SPLITS[a.mode]), tokens, {s: len(tokens) + i for i, s in enumerate(specials)}, made.events)
     return 0
 
 

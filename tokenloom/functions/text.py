@@ -67,14 +67,19 @@ def byte_level(text: Column) -> Column:
     return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _FROM, _TO)
 
 
+def _raw(text: Column) -> Column:
+    """Byte-level characters back to code points 0 to 255. ``translate`` would delete for a 0, so that goes apart."""
+    return F.replace(F.translate(text, _TO[1:], _FROM[1:]), F.lit(_TO[0]), F.lit("\0"))
+
+
 def from_byte_level(text: Column) -> Column:
     """Inverse of ``byte_level``."""
-    return F.decode(F.encode(F.translate(text, _TO, _FROM), "ISO-8859-1"), "UTF-8")
+    return F.decode(F.encode(_raw(text), "ISO-8859-1"), "UTF-8")
 
 
 def to_hex(token: Column) -> Column:
     """Byte-level token as lower-case hex of its bytes."""
-    return F.lower(F.hex(F.encode(F.translate(token, _TO, _FROM), "ISO-8859-1")))
+    return F.lower(F.hex(F.encode(_raw(token), "ISO-8859-1")))
 
 
 def from_hex(value: Column) -> Column:

@@ -120,3 +120,21 @@ def single_counts(words: DataFrame) -> DataFrame:
 def whole_words(words: DataFrame) -> DataFrame:
     """Occurrences of words that are one symbol, and of all words."""
     return words.agg(F.sum(F.when(F.size("symbols") == 1, F.col("frequency")).otherwise(0)).alias("whole_words"), F.sum("frequency").alias("words"))
+
+
+def matches(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Occurrences of vocabulary tokens in pretokens, single characters included. An empty vocabulary is an error."""
+    if not vocabulary.limit(1).count():
+        raise ValueError("the vocabulary is empty")
+    return occurrences(counts, least=1).join(vocabulary.select("token").distinct(), "token", "left_semi")
+
+
+def extend_free(made: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Edges with a column free: whether their token is accepted."""
+    chosen = accepted.select("token").distinct().withColumn("_in", F.lit(True))
+    return made.join(chosen, "token", "left").withColumn("free", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def instance_counts(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(token, count) of given tokens; -1 for tokens that aren't candidates."""
+    return tokens.select("token").distinct().join(candidates.select("token", "count"), "token", "left").select("token", F.coalesce("count", F.lit(-1)).cast("long").alias("count"))

@@ -112,6 +112,6 @@ def acceptance(spark, vocabulary: DataFrame, specials: list[str], unknown: str)
     return encoded.agg(
         F.count("*").alias("inputs"),
         F.count_if(F.size("tokens") > 0).alias("encodable"),
-        F.count_if(F.array_join("tokens", "") == F.col("pretoken")).alias("exact"),
+        F.count_if((F.array_join("tokens", "") == F.col("pretoken")) & ~F.array_contains("tokens", unknown)).alias("exact"),
         F.count_if(F.size(F.filter("tokens", lambda t: t != unknown)) == 0).alias("all_unknown"),
     ).withColumn("special_tokens", F.lit(whole).cast("long"))

@@ -78,6 +78,16 @@ def probabilistic(lp: DataFrame, size: int, alphabet: list[str], seed: int, spec
     return _with_alphabet(chosen, alphabet, specials)
 
 
+def support(lp: DataFrame, above: float = 0.0) -> DataFrame:
+    """Tokens whose value is above a bound, without rounding."""
+    return lp.where(F.col("lp_value") > above)
+
+
+def top_tokens(candidates: DataFrame, n: int) -> DataFrame:
+    """The n tokens with most occurrences, ties by code point, with their rank."""
+    return best(candidates, n, [F.desc("count"), F.asc("token")]).select("rank", "token", "count")
+
+
 def check_size(vocabulary: DataFrame, size: int) -> None:
     n = vocabulary.select("token").distinct().count()
     if n != size:

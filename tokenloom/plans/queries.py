@@ -121,6 +121,44 @@ def token_edges(spark, sf_dir):
     return made.groupBy("token").agg(F.min("start").cast("long").alias("first_start"), F.max("end").cast("long").alias("last_end"), F.count("*").alias("edges"), F.sum("frequency").alias("weight"))
 
 
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES} SELECT (row_number() OVER (ORDER BY count DESC, token))::INTEGER AS rank, token, count FROM candidates ORDER BY count DESC, token LIMIT 50")
+def top_tokens(spark, sf_dir):
+    return vocabulary.top_tokens(counting.candidate_counts(_counts(spark, sf_dir)), 50)
+
+
+_EVERY = """spans1 AS (SELECT pretoken, frequency, length(pretoken) AS n, unnest(range(1, length(pretoken) + 1)) AS k FROM pretok),
+every AS (SELECT pretoken, frequency, substr(pretoken, s + 1, k) AS token, s, k FROM (SELECT *, unnest(range(0, n - k + 1)) AS s FROM spans1))"""
+
+
+@query(f"WITH {sql.counts()}, {_EVERY}, v AS (SELECT pretoken AS token FROM pretok ORDER BY frequency DESC, pretoken LIMIT 300) SELECT token, count(*) AS matches, sum(frequency)::BIGINT AS weight FROM every WHERE token IN (SELECT token FROM v) GROUP BY token")
+def vocabulary_matches(spark, sf_dir):
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    chosen = vocabulary.best(counts, 300, [F.desc("frequency"), F.asc("pretoken")]).select(F.col("pretoken").alias("token"))
+    return counting.matches(counts, chosen).groupBy("token").agg(F.count("*").alias("matches"), F.sum("frequency").alias("weight"))
+
+
+@query(f"WITH {sql.counts()}, {_EVERY} SELECT k::INTEGER AS token_length, count(*) AS substrings, sum(frequency)::BIGINT AS weight FROM every GROUP BY k")
+def substring_lengths(spark, sf_dir):
+    made = counting.occurrences(_counts(spark, sf_dir), least=1)
+    return made.groupBy(F.length("token").alias("token_length")).agg(F.count("*").alias("substrings"), F.sum("frequency").alias("weight"))
+
+
+@query(f"""WITH {sql.counts()}, {sql.CANDIDATES}, accepted AS (SELECT token FROM candidates ORDER BY count DESC, token LIMIT 100),
+e AS (SELECT o.pretoken, o.token IN (SELECT token FROM accepted) AS free FROM occurrences o JOIN candidates USING (token))
+SELECT pretoken, count(*) FILTER (free) AS free_edges, count(*) FILTER (NOT free) AS other_edges FROM e GROUP BY pretoken""")
+def extended_free_edges(spark, sf_dir):
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    tokens = materialize(counting.token_ids(counting.candidate_counts(counts)), "tokens")
+    made = counting.extend_free(counting.edges(counts, tokens), vocabulary.top_tokens(tokens, 100))
+    return made.groupBy("pretoken").agg(F.count_if("free").alias("free_edges"), F.count_if(~F.col("free")).alias("other_edges"))
+
+
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES}, t(token) AS (VALUES ('th'), ('Ġthe'), ('Ġqqqq'), ('er'), ('')) SELECT token, coalesce(count, -1)::BIGINT AS count FROM t LEFT JOIN candidates USING (token)")
+def instance_counts(spark, sf_dir):
+    tokens = spark.createDataFrame([(t,) for t in ("th", "Ġthe", "Ġqqqq", "er", "")], "token string")
+    return counting.instance_counts(tokens, counting.candidate_counts(_counts(spark, sf_dir)))
+
+
 def _symbols(counts: DataFrame) -> DataFrame:
     return counts.select(F.filter(F.split("pretoken", ""), lambda c: c != "").alias("symbols"), "frequency")
 
@@ -199,6 +237,12 @@ def inferred_text_column(spark, sf_dir):
     return pages.select("page_id", F.col(name).cast("string").alias("text"))
 
 
+@query("SELECT doc_id, length(text)::INTEGER AS chars FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\\s\\x{1c}-\\x{1f}]')")
+def valid_texts(spark, sf_dir):
+    docs = _read(spark, sf_dir)
+    return docs.where(text.has_text(F.col("text"))).select("doc_id", F.length("text").alias("chars"))
+
+
 @query("SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'conversations', text FROM conversations")
 def united_corpus(spark, sf_dir):
     parts = [readers.as_text(_read(spark, sf_dir, t)).select(F.lit(t).alias("source"), "text") for t in ("documents", "benchmark", "conversations")]
@@ -329,6 +373,11 @@ def rounding_probabilistic(spark, sf_dir):
     return vocabulary.probabilistic(_values(spark, sf_dir), VOCABULARY, ALPHABET, SEED)
 
 
+@query(f"WITH {sql.counts()}, {sql.CANDIDATES}, {_LP} SELECT token, token_id, lp_value::DOUBLE AS lp_value FROM lp WHERE lp_value > 0.5")
+def value_support(spark, sf_dir):
+    return vocabulary.support(_values(spark, sf_dir), 0.5)
+
+
 @query(f"""WITH {sql.counts()}, {sql.CANDIDATES}, {_LP}
 SELECT count(*) FILTER (lp_value > 0.999) AS ones, count(*) FILTER (lp_value > 0.001) AS positive, round(sum(lp_value), 6) AS total FROM lp""")
 def value_counts(spark, sf_dir):

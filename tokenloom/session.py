@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where it is unset (local tests) a temporary folder is made and set.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
         sc.setCheckpointDir(found)
