@@ -19,7 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_html_extraction": html_extraction.op3,
-    "op4_bpe_automaton": bpe_automaton.op4,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op7_tool_call_linking": chat_format.ORACLE,
 }
