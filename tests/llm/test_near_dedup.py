@@ -69,6 +69,26 @@ def test_hot_group_and_small_leaves(spark):
     assert got(near_dedup.near_dedup(df, leaf=4, depth=2)) == brute(rows)
 
 
+def test_hot_family_linked_in_pairs_only(spark):
+    """A shared core puts all in the same large nodes at J = 0.84; each is linked with its partner alone."""
+    core, rows = [f"c{i}" for i in range(185)], []
+    for k in range(300):
+        rows.append((k, " ".join([*core, *(f"p{k % 150}x{i}" for i in range(2)), *(f"o{k}x{i}" for i in range(15))])))
+    x, y, z = (shingle_set(rows[k][1]) for k in (0, 150, 1))
+    assert 100 * len(x & y) >= 85 * len(x | y) and 84 * len(x | z) <= 100 * len(x & z) < 85 * len(x | z)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_dedup.near_dedup(df)) == brute(rows)
+
+
+def test_pairs_across_in_blocks(spark):
+    """Blocks smaller than the node still meet every pair of different components, and no other pair."""
+    sketch = bytes(range(near_dedup.SKETCH))
+    members = spark.createDataFrame([(1, i, bytearray(sketch)) for i in range(30)] + [(2, i, bytearray(sketch)) for i in range(30, 34)], "node long, id long, sketch binary")
+    label = spark.createDataFrame([(i, 0 if i < 20 else 30) for i in [*range(20), *range(30, 34)]], "id long, component long")
+    out = sorted((r.a, r.b) for r in near_dedup.pairs_across(members, label, block=4).collect())
+    assert out == [(a, b) for a, b in combinations(range(30), 2) if b >= 20]
+
+
 def test_edge_rows(spark):
     rows = [(r[0], r[1]) for r in edge_rows()]
     assert got(near_dedup.near_dedup(edge_docs(spark))) == brute(rows)

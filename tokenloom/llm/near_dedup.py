@@ -9,14 +9,18 @@ empty and linked with nothing. Two documents are linked when ``100 * |A n B| >=
 2. In each of ``trees`` independent trees a class walks down the path of its chosen minwise tokens. A
    node of at most ``leaf`` classes is compared exhaustively by sketch; a larger one is branched by the
    next token and, since its classes agree on all tokens so far, also linked as a star around its
-   smallest class. A node that is still large at full depth is cut by sketch bands in the same way.
-   Sketches only spare hopeless pairs: a pair at the threshold fails the sketch test about once in 1e5.
+   smallest class. Sketches only spare hopeless pairs: a pair at the threshold fails the sketch
+   test about once in 1e5.
 3. Candidates are confirmed on the full sets, in two steps. First each class with its smallest
    candidate; then, of the rest, the pairs that still join different components. Pairs inside one
    component can change nothing and aren't read. Components come from min-label contraction.
+4. Nodes that are still large at full depth are compared whole, in blocks of classes: every pair of
+   different components, by sketch and then on full sets. A node whose stars have linked it costs nothing;
+   one of n classes with m outside the component of its smallest costs n * m sketch comparisons.
 
 Recall: a tree that compares at depth d meets a pair of similarity s with probability s^d; with 14
-trees a pair at 0.85 is missed with 0.4^14 < 1e-5 at depth 3. The star edges add to that.
+trees a pair at 0.85 is missed with 0.4^14 < 1e-5 at depth 3, and with 0.56^14 < 3e-4 where all its nodes
+are large down to depth 5. The star edges add to that.
 
 Null text or a text without words: n_shingles 0, its own component. Null doc_ids are dropped from the
 links and returned as their own component. Rows that repeat a doc_id count as one document whose first
@@ -43,6 +47,8 @@ LEAF = 24
 SKETCH = 32
 #: Of the sketch's bytes so many must agree: 4.5 standard deviations below the mean at the threshold.
 AGREE = 18
+#: Classes of a large node that meet others in one block; bounds memory, never what is compared.
+BLOCK = 512
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -126,8 +132,11 @@ def _token(column: str, at):
     return F.conv(F.hex(F.substring(column, at * 4 + 1, 4)), 16, 10).cast("long")
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of ``classes`` (id, path, sketch)."""
+def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b), a < b, of ``classes`` (id, path, sketch).
+
+    Also the members (node, id, sketch) of nodes still large at full depth, of which only stars are paired.
+    """
 
     def enter(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +168,7 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf:
     sketches = classes.select(F.col("id").alias("low"), F.col("sketch").alias("low_sketch"))
     found: DataFrame | None = None
     rows = classes.select("id", "path", "sketch").mapInArrow(enter(0), schema)
-    for level in range(depth + 1):
+    for level in range(depth):
         size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
         met = materialize(rows.join(size.hint("merge"), "node"), "near-nodes")
         large = met.where(F.col("n") > leaf)
@@ -169,13 +178,48 @@ def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf:
         found = pairs if found is None else found.unionByName(pairs)
         if level < depth - 1:
             rows = large.select("id", "node", "path", "sketch").mapInArrow(enter(level + 1), schema)
-        elif level == depth - 1:
-            # nodes still large are near copies of one another: one more branching, by bands of the sketch
-            bands = [F.xxhash64("node", F.lit(k), F.substring("sketch", 1 + 4 * k, 4)) for k in range(SKETCH // 4)]
-            rows = large.select("id", F.explode(F.array(*bands)).alias("node"), "path", "sketch")
         if not large.limit(1).count():
             break
-    return found.distinct()
+    return found.distinct(), large.select("node", "id", "sketch")
+
+
+def pairs_across(members: DataFrame, label: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``members`` (node, id, sketch) that share a node, not a component, and agree.
+
+    In each node the classes outside the component of its smallest one meet all its classes, a block of the
+    ones with a block of the others at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            column = batch.column(0)
+            offsets = column.offsets.to_numpy()
+            rows = column.values
+            ids, kind = rows.field("id").to_numpy(), rows.field("component").to_numpy()
+            outer = rows.field("outer").to_numpy(zero_copy_only=False)
+            sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                x, y = s + np.flatnonzero(outer[s:e]), s + np.flatnonzero(~outer[s:e])
+                same = np.zeros((len(x), len(y)), np.uint8)
+                for k in range(SKETCH):
+                    same += sketches[x, k][:, None] == sketches[y, k][None, :]
+                i, j = np.nonzero((same >= AGREE) & (kind[x][:, None] != kind[y][None, :]))
+                left.append(np.minimum(ids[x[i]], ids[y[j]])), right.append(np.maximum(ids[x[i]], ids[y[j]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else [], pa.int64()) for z in (left, right)], ["a", "b"])
+
+    rows = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("node").agg(F.min_by("component", "id").alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rows = materialize(rows.join(mixed.select("node", "main").hint("merge"), "node"), "near-mixed")
+    blocks_of = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    size = rows.groupBy("node").agg(blocks_of(F.count("*")).alias("ys"), blocks_of(F.count_if(F.col("component") != F.col("main"))).alias("xs"))
+    rows = rows.join(size.hint("merge"), "node")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.where("component <> main").select("node", own("xs").alias("x"), every("ys").alias("y"), "id", "component", "sketch", F.lit(True).alias("outer"))
+    inner = rows.select("node", every("xs").alias("x"), own("ys").alias("y"), "id", "component", "sketch", F.lit(False).alias("outer"))
+    met = outer.unionByName(inner).groupBy("node", "x", "y").agg(F.collect_list(F.struct("id", "component", "sketch", "outer")).alias("members"))
+    return met.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def _alike(stars: DataFrame) -> DataFrame:
@@ -282,12 +326,16 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, trees: int = TREES,
     named = rows.where("doc_id IS NOT NULL AND set IS NOT NULL")
     # copies: one row a class; combines before the shuffle
     classes = materialize(named.groupBy("set").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size"), F.first("path").alias("path"), F.first("sketch").alias("sketch")), "near-classes")
-    pairs = materialize(candidates(classes.select("id", "path", "sketch"), trees, depth, leaf), "near-pairs")
+    pairs, crowded = candidates(classes.select("id", "path", "sketch"), trees, depth, leaf)
+    pairs = materialize(pairs, "near-pairs")
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
     links = materialize(confirm(first, docs, threshold), "near-links")
     rest = materialize(_labelled(pairs.join(first, ["a", "b"], "left_anti"), components(links)).where("ca <> cb").select("a", "b"), "near-rest")
-    links = links.unionByName(confirm(rest, docs, threshold))
+    links = materialize(links.unionByName(confirm(rest, docs, threshold)), "near-links")
     label = components(links)
+    if crowded.limit(1).count():
+        across = materialize(pairs_across(crowded, label).join(pairs, ["a", "b"], "left_anti"), "near-across")
+        label = components(links.unionByName(confirm(across, docs, threshold)))
     member = classes.join(label, "id", "left").select("set", F.col("id").alias("class_id"), "class_size", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set").join(member, "set", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
