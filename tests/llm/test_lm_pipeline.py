@@ -65,6 +65,19 @@ def test_probabilities_sum_to_one():
     assert np.prod(np.where(L.bits_of(data), p, 1 - p), axis=1).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_orders_of_the_predictors():
+    """One predictor for each of the last one to four bytes of the word, and two for the word so far."""
+    words = [b"abcdex", b"zbcdex", b"zzcdex", b"zzzdex", b"zzzzex"]
+    data, starts = L.spelled(words)
+    context, byte, where = L.contexts(data, starts, np.zeros(len(words), int))
+    assert len(context) == L.PREDICTORS == len(L.SLOT_BITS) == L.LONGEST + L.WORD_PREDICTORS
+    seen = context[:, where[starts + 5]]
+    # the x of two words: the same context while the orders don't reach the first byte that differs
+    for k in range(4):
+        assert [c == seen[k, 0] for c in seen[k]] == [True] * (5 - k) + [False] * k
+    assert all(len(set(seen[k].tolist())) == len(words) for k in (4, 5))
+
+
 def test_learning_lowers_the_cost():
     words = sorted({w.encode() for w in prose(1, 3000, 300).split()})
     n = np.arange(1, len(words) + 1)
