@@ -249,3 +249,34 @@ def test_closed_form_of_edges(spark):
     counts = spark.createDataFrame([("a" * n, 1) for n in (1, 2, 5, 9)], "pretoken string, frequency long")
     for most in (None, 2, 4, 100):
         assert counting.raw_graph_size(counts, most).first().raw_edges == counting.occurrences(counts, most).count()
+
+
+def test_bpe_words_beyond_the_bound_are_an_error(spark):
+    counts = spark.createDataFrame([("ab", 3), ("cd", 2), ("ef", 1)], "pretoken string, frequency long")
+    assert bpe.load_words(counts, 3) == [("ab", 3), ("cd", 2), ("ef", 1)]
+    with pytest.raises(ValueError):
+        bpe.load_words(counts, 2)
+
+
+def test_report_trains_on_all_words(spark, tmp_path, monkeypatch):
+    from tokenloom.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def train(words, *_):
+        raise Seen(len(words))
+
+    spark.createDataFrame([(" ".join(f"{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760)}" for i in range(21_000)),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(bpe, "train", train)
+    with pytest.raises(Seen) as seen:
+        queries.tokenization_report(spark, str(tmp_path))
+    assert seen.value.args == (21_000,)
+
+
+def test_unigram_query_keeps_long_pieces(spark, tmp_path):
+    from tokenloom.plans import queries
+
+    spark.createDataFrame([(" ".join(["internationally"] * 50),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {r.token for r in queries.unigram_vocabulary(spark, str(tmp_path)).collect()}
+    assert "internationally" in tokens or "Ġinternationally" in tokens

@@ -449,7 +449,7 @@ def encoded_documents(spark, sf_dir):
 def tokenization_report(spark, sf_dir):
     """Frequent pretokens against BPE of the same size, for each distinct pretoken."""
     counts = materialize(_counts(spark, sf_dir), "counts")
-    tokens, _ = bpe.train(bpe.load_words(counts, 20_000), 1024)
+    tokens, _ = bpe.train(bpe.load_words(counts), 1024)
     other = spark.createDataFrame(list(enumerate(tokens)), "id long, token string")
     left = encode.encode_words(counts, vocabulary.frequent(counts, 1024))
     return encode.compare(left, encode.encode_words(counts, other))
@@ -472,7 +472,7 @@ def picky_bpe_events(spark, sf_dir):
 @query()
 def unigram_vocabulary(spark, sf_dir):
     counts = materialize(_counts(spark, sf_dir), "counts")
-    rows = unigram.train(counts, 1500, text.special_tokens("nanochat"), seeds=4000, most=8)
+    rows = unigram.train(counts, 1500, text.special_tokens("nanochat"))
     return spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(rows)], "id long, token string, score double")
 
 
