@@ -107,6 +107,24 @@ def test_schemas(value, schema, ok):
     assert C.fits(value, schema) is ok
 
 
+@pytest.mark.parametrize(
+    "value, schema, ok",
+    [
+        (1, {"anyOf": [{"type": "string"}, {"type": "null"}]}, False), ("a", {"anyOf": [{"type": "string"}, {"type": "null"}]}, True),
+        (1, {"oneOf": [{"type": "integer"}, {"minimum": 0}]}, False), (1, {"oneOf": [{"type": "integer"}, {"minimum": 2}]}, True),
+        (1, {"allOf": [{"type": "integer"}, {"minimum": 2}]}, False), ("a", {"not": {"type": "string"}}, False),
+        (1, {"exclusiveMinimum": 1}, False), (2, {"exclusiveMaximum": 2}, False), (1.5, {"exclusiveMinimum": 1, "exclusiveMaximum": 2}, True),
+        (0.3, {"multipleOf": 0.1}, True), (7, {"multipleOf": 2}, False), ([1, 2, 1], {"uniqueItems": True}, False),
+        ({"x_a": 1}, {"patternProperties": {"^x_": {"type": "string"}}}, False), ({"x_a": "b"}, {"patternProperties": {"^x_": {"type": "string"}}, "additionalProperties": False}, True),
+        ({"a": {"a": 1}}, {"$defs": {"t": {"properties": {"a": {"$ref": "#/$defs/t"}}, "type": "object"}}, "$ref": "#/$defs/t"}, False),
+        ({"a": {"a": {}}}, {"$defs": {"t": {"properties": {"a": {"$ref": "#/$defs/t"}}, "type": "object"}}, "$ref": "#/$defs/t"}, True),
+        (1, {"$ref": "#"}, True), (1, {"$ref": "elsewhere.json"}, False), ({"a": {"$ref": "c1"}}, {"not": {"properties": {"a": {"type": "string"}}}}, True),
+    ],
+)
+def test_schema_combinations(value, schema, ok):
+    assert C.fits(value, schema) is ok
+
+
 def test_sql_on_plain_conversations(spark):
     rows = [(1, 0, "user", 'q "x"\né\t'), (1, 1, "assistant", "a"), (2, 0, "system", None)]
     df = spark.createDataFrame(rows, MESSAGES)

@@ -12,7 +12,8 @@ result of call ``id`` first. Calls are ordered topologically by level: 0 without
 highest level needed. Levels come from repeated joins, never by collecting a conversation; calls on a cycle or that
 need an unknown call keep level null. A message's place is (order_turn, level, turn): order_turn is its turn, or a
 later one if something it needs, such as the call of a result, stands later. So a result follows its call even if the
-rows have it before. Arguments are validated against the schema that the conversation declares for the name.
+rows have it before. Arguments are validated against the schema that the conversation declares for the name;
+a schema's ``$ref`` is followed inside that schema, and one that leads elsewhere fits nothing.
 
 One row a message: conv_id, turn, role, order_turn, level, n_calls, n_linked (its calls answered, or 1 for a result
 that has its call), n_invalid (calls that aren't valid JSON, or whose arguments don't fit the schema), json.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +74,48 @@ def needs(arguments) -> set[str]:
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 
 
-def fits(value, schema) -> bool:
-    """Whether a value meets a JSON schema: type, enum, const, properties, required, additionalProperties, items, bounds."""
+def _pointed(root, pointer: str):
+    """What a pointer inside the schema (``#/...``) names; False, which nothing fits, if it names nothing here."""
+    if pointer.split("/")[0] != "#":
+        return False
+    for part in pointer.split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(root, list) and part.isdigit() and int(part) < len(root):
+            root = root[int(part)]
+        elif isinstance(root, dict) and part in root:
+            root = root[part]
+        else:
+            return False
+    return root
+
+
+def _combined(value, schema: dict, root, trail: tuple) -> bool:
+    """The keywords that hold further schemas for the same value; a call's result that isn't known yet may go either way."""
+    meets = lambda s: fits(value, s, root, trail)
+    unknown = bool(needs(value))
+    if isinstance(schema.get("$ref"), str):
+        # a reference that comes back to itself for the same value settles nothing
+        if schema["$ref"] not in trail and not fits(value, _pointed(root, schema["$ref"]), root, (*trail, schema["$ref"])):
+            return False
+    if not all(map(meets, schema.get("allOf", []))) or "anyOf" in schema and not any(map(meets, schema["anyOf"])):
+        return False
+    if "oneOf" in schema:
+        n = sum(map(meets, schema["oneOf"]))
+        if not n or n > 1 and not unknown:
+            return False
+    if "not" in schema and not unknown and meets(schema["not"]):
+        return False
+    if "if" in schema:
+        then, other = meets(schema.get("then", True)), meets(schema.get("else", True))
+        return then or other if unknown else then if meets(schema["if"]) else other
+    return True
+
+
+def fits(value, schema, root=None, trail: tuple = ()) -> bool:
+    """Whether a value meets a JSON schema: type, enum, const, properties, patternProperties, required,
+    additionalProperties, items, uniqueItems, bounds, multipleOf, allOf, anyOf, oneOf, not, if, and $ref inside the schema.
+    """
+    root = schema if root is None else root
     if isinstance(schema, bool):
         return schema
     if not isinstance(schema, dict):
@@ -89,17 +131,32 @@ def fits(value, schema) -> bool:
         return False
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         return False
+    if not _combined(value, schema, root, trail):
+        return False
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return False
         if any(k not in value for k in schema.get("required", [])):
             return False
         rest = schema.get("additionalProperties", True)
-        return all(fits(v, known[k] if k in known else rest) for k, v in value.items())
+        for k, v in value.items():
+            own = [*([known[k]] if k in known else []), *(s for p, s in patterns.items() if re.search(p, k))]
+            if not all(fits(v, s, root) for s in own or [rest]):
+                return False
+        return True
     if isinstance(value, list):
-        return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) and all(fits(v, schema.get("items", True)) for v in value)
+        return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) and all(fits(v, schema.get("items", True), root) for v in value) and not (schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value))
     if isinstance(value, str):
         return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) and ("pattern" not in schema or re.search(schema["pattern"], value) is not None)
     if isinstance(value, (int, float)) and not isinstance(value, bool):
+        above, below = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        # older schemas have true here, for the bound beside it
+        above, below = (schema.get(bound) if x is True else x for x, bound in ((above, "minimum"), (below, "maximum")))
+        if above not in (None, False) and value <= above or below not in (None, False) and value >= below:
+            return False
+        if schema.get("multipleOf", 0) > 0 and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            return False
         return schema.get("minimum", value) <= value <= schema.get("maximum", value)
     return True
 
