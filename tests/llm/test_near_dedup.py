@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs, prose
 from tokenloom.llm import near_dedup
 
@@ -106,6 +109,52 @@ def test_threshold_is_exact(spark):
     assert got(near_dedup.near_dedup(df)) == brute(rows)
 
 
+@pytest.mark.parametrize("sent", [0, near_dedup.MOST_SENT])
+def test_large_sets_at_the_threshold(spark, monkeypatch, sent):
+    """185,000 of 200,000 shared is a link at 85 of 100 exactly; one shingle less in common isn't."""
+    monkeypatch.setattr(near_dedup, "MOST_SENT", sent)
+    rows = []
+    for g in range(3):
+        x = [f"g{g}w{i}" for i in range(200_002)]
+        rows += [(3 * g, " ".join(x)), (3 * g + 1, " ".join(x[: 170_002])), (3 * g + 2, " ".join(x[: 170_001] + ["end"]))]
+    x, y, z = (shingle_set(rows[k][1]) for k in range(3))
+    assert 100 * len(x & y) == 85 * len(x | y) and 100 * len(x & z) < 85 * len(x | z)
+    # without the middle one the others aren't linked
+    rows = rows[:3] + [rows[k] for k in (3, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(near_dedup.near_dedup(df)) == brute(rows)
+
+
+def test_narrow_multisets_share_no_less():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        # few values, so that many tokens collide
+        all_ = rng.permutation(3000)
+        x, y = all_[:900], all_[300:1100]
+        narrow = rng.integers(0, 2000, 3000).astype(np.uint32)
+        assert near_dedup.shared_tokens(np.sort(narrow[x]), np.sort(narrow[y])) >= 600
+    wide = np.arange(3000, dtype=np.uint64)
+    assert near_dedup.shared_tokens(wide[:900], wide[300:1100]) == 600
+
+
+def test_large_node_whose_smallest_is_apart(spark):
+    """The smallest class of a hot node is linked with none of the others, which are near copies."""
+    rng = random.Random(9)
+    base = prose(1, 300)
+    words = base.split()
+    rows = [(0, " ".join(words[:250] + [f"z{i}" for i in range(60)]))] + [(k, variant(base, rng, 1 + k % 5)) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_dedup.near_dedup(df, leaf=6, depth=3)) == brute(rows)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """A repeated doc_id is linked through each of its texts."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    df = spark.createDataFrame([(6, a), (6, b), (7, a), (5, b), (9, b), (10, c), (11, None), (11, c)], "doc_id long, text string")
+    out = {(r.doc_id, r.n_shingles > 0): r.component_id for r in near_dedup.near_dedup(df).collect()}
+    assert out == {(5, True): 5, (6, True): 5, (7, True): 5, (9, True): 5, (10, True): 10, (11, True): 10, (11, False): 11}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5)], "a long, b long")
     out = {r.id: r.component for r in near_dedup.components(edges).collect()}

@@ -23,8 +23,9 @@ trees a pair at 0.85 is missed with 0.4^14 < 1e-5 at depth 3, and with 0.56^14 <
 are large down to depth 5. The star edges add to that.
 
 Null text or a text without words: n_shingles 0, its own component. Null doc_ids are dropped from the
-links and returned as their own component. Rows that repeat a doc_id count as one document whose first
-set in hash order is taken. Extra columns are ignored; an empty table gives an empty result.
+links and returned as their own component. Rows that repeat a doc_id are one document that is linked
+through each of its texts: if 6 has the texts A and B, a copy of A and a copy of B are in its component.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ SKETCH = 32
 AGREE = 18
 #: Classes of a large node that meet others in one block; bounds memory, never what is compared.
 BLOCK = 512
+#: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -236,22 +239,38 @@ def _alike(stars: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of class representatives that are linked, decided on full sets made from the texts.
 
-    Sets travel as 32-bit token hashes with the exact set size. Equal 32-bit hashes of different tokens can
-    only add to an intersection; pairs that would pass by at most SURE shared tokens go again with 64 bits.
+    Sets travel first as 32-bit token hashes, repeats included, with the exact set size. What two such
+    multisets share is never less than what the sets share, so a pair that fails on them is no link. It may be
+    more, by chance: pairs that wouldn't pass with ``slack`` fewer shared tokens go again with 64 bits.
     """
-    first = _decide(pairs, docs, threshold, wide=False)
-    first = materialize(first, "near-decided")
+    first = materialize(_decide(pairs, docs, threshold, wide=False), "near-decided")
     unsure = first.where("NOT sure").select("a", "b")
     return first.where("sure").select("a", "b").unionByName(_decide(unsure, docs, threshold, wide=True).select("a", "b"))
 
 
-SURE = 3
+def slack(m: int, n: int) -> float:
+    """More 32-bit hashes than this aren't shared by chance between sets of m and n: six deviations above the mean."""
+    mean = m * n / 2.0**32
+    return mean + 6 * mean**0.5 + 6
+
+
+def shared_tokens(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    if not ((x[1:] == x[:-1]).any() or (y[1:] == y[:-1]).any()):
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")
+        return int(np.count_nonzero(both[1:] == both[:-1]))
+    (u, k), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(k[i], n[j]).sum())
 
 
 def _decide(pairs: DataFrame, docs: DataFrame, threshold: int, wide: bool) -> DataFrame:
     kind = np.uint64 if wide else np.uint32
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = token_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), wide)
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    # few ids are sent to the texts; of many, both sides are shuffled
+    few = ids.count() <= MOST_SENT
+    sets = token_sets(docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi"), wide)
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("n"), F.col("tokens").alias("y"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "m", "n", "x", "y")
@@ -262,11 +281,9 @@ def _decide(pairs: DataFrame, docs: DataFrame, threshold: int, wide: bool) -> Da
             for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
                 shared = 0
                 if 100 * min(m, n) >= threshold * max(m, n):
-                    both = np.concatenate([np.frombuffer(z.as_buffer(), kind) for z in (x, y)])
-                    both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    shared = shared_tokens(*(np.frombuffer(z.as_buffer(), kind) for z in (x, y)))
                 keep.append(100 * shared >= threshold * (m + n - shared))
-                shared -= 0 if wide else SURE
+                shared -= 0 if wide else slack(m, n)
                 sure.append(100 * shared >= threshold * (m + n - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure, pa.bool_())], ["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
 
@@ -274,7 +291,7 @@ def _decide(pairs: DataFrame, docs: DataFrame, threshold: int, wide: bool) -> Da
 
 
 def token_sets(docs: DataFrame, wide: bool = True) -> DataFrame:
-    """Full sets of documents: id, n (set size), tokens (sorted distinct hashes, 8 or 4 bytes each)."""
+    """Full sets of documents: id, n (set size), tokens (sorted hashes, 8 or 4 bytes each; those of 4 may repeat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -282,7 +299,7 @@ def token_sets(docs: DataFrame, wide: bool = True) -> DataFrame:
             sets = [shingles(hashes.of(text.lower().split())) for text in as_bytes(batch.column(1))]
             n = [len(s) for s in sets]
             if not wide:
-                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+                sets = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, tokens binary")
@@ -326,10 +343,14 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, trees: int = TREES,
     named = rows.where("doc_id IS NOT NULL AND set IS NOT NULL")
     # copies: one row a class; combines before the shuffle
     classes = materialize(named.groupBy("set").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size"), F.first("path").alias("path"), F.first("sketch").alias("sketch")), "near-classes")
+    named = named.select("doc_id", "set")
+    twice = named.groupBy("doc_id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("doc_id")
+    own = named.join(twice, "doc_id", "left_semi").join(classes.select("set", "id"), "set").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    own = materialize(own.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-own")
     pairs, crowded = candidates(classes.select("id", "path", "sketch"), trees, depth, leaf)
     pairs = materialize(pairs, "near-pairs")
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
-    links = materialize(confirm(first, docs, threshold), "near-links")
+    links = materialize(confirm(first, docs, threshold).unionByName(own), "near-links")
     rest = materialize(_labelled(pairs.join(first, ["a", "b"], "left_anti"), components(links)).where("ca <> cb").select("a", "b"), "near-rest")
     links = materialize(links.unionByName(confirm(rest, docs, threshold)), "near-links")
     label = components(links)
@@ -344,3 +365,25 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, trees: int = TREES,
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_dedup(docs)
+
+
+ORACLE = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN len(w) >= {WIDTH} THEN list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i : i + {WIDTH} - 1], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+  FROM words),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, count(*)::BIGINT AS class_size, s, len(s)::BIGINT AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS MATERIALIZED (SELECT id, n, unnest(s) AS t FROM classes),
+links AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b FROM tokens x JOIN tokens y ON x.t = y.t AND x.id <> y.id
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= {THRESHOLD} * (x.n + y.n - count(*))),
+reached AS (SELECT id, id AS other FROM classes UNION SELECT reached.id, links.b FROM reached JOIN links ON links.a = reached.other),
+component AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept,
+       coalesce(classes.id, doc_id) AS class_id, coalesce(class_size, 1)::BIGINT AS class_size
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN component ON classes.id = component.id
+"""
