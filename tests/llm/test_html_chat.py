@@ -131,3 +131,57 @@ def test_sql_on_plain_conversations(spark):
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
     assert sorted(con.execute(C.ORACLE).fetchall(), key=repr) == sorted(map(tuple, C.chat_format(df).collect()), key=repr)
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [{"minLength": "3"}, {"pattern": "("}, {"pattern": 3}, {"enum": 3}, {"type": [{}]}, {"type": "strng"}, {"$ref": "#/x"}, {"allOf": 3}, {"anyOf": [3]}, {"not": 3, "allOf": [[]]}, {"maxLength": None}, 7, [], "x"],
+)
+def test_malformed_schemas_fit_nothing(schema):
+    assert C.valid("abcdef", schema) is False
+
+
+def test_malformed_keywords_for_objects_and_numbers():
+    for schema in ({"properties": ["a"]}, {"required": 3}, {"properties": {"a": {"multipleOf": "2"}}}, {"patternProperties": {"(": True}}, {"properties": {"a": {"minimum": "0"}}}, {"minProperties": "1"}):
+        assert C.valid({"a": 1}, schema) is False
+    # a keyword counts only where it applies
+    assert C.valid(1, {"minLength": "3"}) is True
+
+
+def test_pattern_that_never_ends(monkeypatch):
+    monkeypatch.setattr(C, "PATTERN_SECONDS", 0.2)
+    assert C.valid("a" * 200 + "b", {"pattern": r"^(a|aa|(a+)+)+$"}) is False
+
+
+def test_numbers_surrogates_and_nesting_are_no_crash(spark):
+    deep = '{"a":' * 300_000 + "1" + "}" * 300_000
+    texts = ['{"id":"c","name":"f","arguments":{"a":1e999}}', '{"id":"c","name":"f\\ud800","arguments":{}}', '{"id":"c","name":"f","arguments":' + deep + "}", '{"id":"c","name":"f","arguments":{"a":NaN}}', '{"id":"d","name":"f","arguments":{"a":12345678901234567890123}}']
+    rows = [(1, 0, "system", '<tools>[{"name":"f","parameters":{"properties":{"a":{"pattern":"("}}}}, {"name":"\\udfff"}]</tools>')]
+    rows += [(1, k + 1, "assistant", f"<tool_call>{t}</tool_call>") for k, t in enumerate(texts)] + [(1, 9, "tool", '{"tool_call_id":"d","content":"\\ud800"}'), (1, 10, "tool", '{"tool_call_id":"d","content":1e400}')]
+    out = {r.turn: r for r in C.chat_format(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert len(out) == len(rows) and [out[k].n_invalid for k in range(1, 6)] == [1, 1, 1, 1, 0]
+    assert [out[k].n_linked for k in (9, 10)] == [0, 0]
+
+
+def test_both_ways_to_order_calls(spark):
+    """A long chain, a cycle, an unknown need and null turns, in one pass and by joins."""
+    rows = [(1, f"k{k}", 100 - k, [f"k{k - 1}"] if k else []) for k in range(12)] + [(2, "x", 1, ["y"]), (2, "y", 2, ["x"]), (2, "z", 3, ["nobody"]), (2, "w", None, []), (2, "v", None, ["w"]), (None, "n", 1, [])]
+    df = spark.createDataFrame(rows, "conv_id long, id string, turn long, needs array<string>")
+    one, other = (sorted(map(tuple, C.levels(df, small).collect()), key=repr) for small in (C.SMALL, 0))
+    assert one == other and len(one) == 14 and (1, "k11", 11, 100) in one
+
+
+def test_long_chain_in_one_pass(spark):
+    rows = [(1, 2 * k, "assistant", call(f"k{k}", "f", **({"a": {"$ref": f"k{k - 1}"}} if k else {}))) for k in range(3000)]
+    out = C.chat_format(spark.createDataFrame(rows, MESSAGES)).agg({"level": "max"}).first()[0]
+    assert out == 2999
+
+
+def test_sql_on_conversations_with_calls(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", "x" * (40 * t + c)) for c in range(4) for t in range(14)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    want = sorted(con.execute(C.LINKED_ORACLE).fetchall(), key=repr)
+    assert want == sorted(map(tuple, C.chat_format(C.with_calls(df)).collect()), key=repr)
+    assert {r[4] for r in want} == {0, 1, 2, 3} and {r[6] for r in want} == {0, 1} and {r[7] for r in want} == {0, 1}

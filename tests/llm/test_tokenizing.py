@@ -177,3 +177,14 @@ def test_ranks_in_several_buckets(spark, monkeypatch):
     monkeypatch.setattr(P, "PIECES_PER_BUCKET", 10)
     docs = [(i, "same text") for i in range(95)] + [(i, prose(i, 30)) for i in range(95, 120)]
     check_packing(P.pack(spark.createDataFrame(docs, "doc_id long, text string"), BYTE).collect(), docs)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "word " * 3 + "\n" * 1_200_000 + " tail", "x" * 1_000_000], ids=["spaces", "lines", "letters"])
+def test_very_long_runs_encode_as_the_library_does(text):
+    assert P.encode(BYTE, text).tolist() == byte_library.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_is_packed(spark):
+    df = spark.createDataFrame([(1, " " * 1_200_000 + "x"), (2, "short"), (3, None)], "doc_id long, text string")
+    out = P.pack(df, BYTE).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3} and max(r.offset + r.length for r in out) <= P.CAPACITY

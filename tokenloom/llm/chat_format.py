@@ -9,11 +9,12 @@ Messages (conv_id, turn, role, text) become canonical JSON: keys sorted, no spac
 
 Calls and results are hash-joined by (conv_id, identifier). A call whose arguments hold ``{"$ref": id}`` needs the
 result of call ``id`` first. Calls are ordered topologically by level: 0 without needs, else one more than the
-highest level needed. Levels come from repeated joins, never by collecting a conversation; calls on a cycle or that
-need an unknown call keep level null. A message's place is (order_turn, level, turn): order_turn is its turn, or a
+highest level needed. A conversation of at most ``SMALL`` calls and needs is ordered in one task, a larger one by
+repeated joins; calls on a cycle or that need an unknown call keep level null. A message's place is (order_turn, level, turn): order_turn is its turn, or a
 later one if something it needs, such as the call of a result, stands later. So a result follows its call even if the
 rows have it before. Arguments are validated against the schema that the conversation declares for the name;
-a schema's ``$ref`` is followed inside that schema, and one that leads elsewhere fits nothing.
+a schema's ``$ref`` is followed inside that schema, and one that leads elsewhere fits nothing, nor does a
+malformed keyword (see ``valid``).
 
 One row a message: conv_id, turn, role, order_turn, level, n_calls, n_linked (its calls answered, or 1 for a result
 that has its call), n_invalid (calls that aren't valid JSON, or whose arguments don't fit the schema), json.
@@ -27,11 +28,13 @@ Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +49,23 @@ def canonical(value) -> str:
 
 
 def _load(text: str):
-    """Parsed JSON, or None if it isn't valid (NaN and the like aren't)."""
+    """Parsed JSON, or None if it isn't valid: NaN, numbers beyond a double and lone surrogates aren't, nor is
+    nesting too deep to be written again.
+    """
 
     def no(name):
         raise ValueError(name)
 
+    def number(digits):
+        x = float(digits)
+        if not math.isfinite(x):
+            raise ValueError(digits)
+        return x
+
     try:
-        return json.loads(text, parse_constant=no)
+        value = json.loads(text, parse_constant=no, parse_float=number)
+        canonical([[[value]]]).encode()  # it will be written some levels deeper
+        return value
     except (ValueError, RecursionError):
         return None
 
@@ -111,8 +124,26 @@ def _combined(value, schema: dict, root, trail: tuple) -> bool:
     return True
 
 
+#: Seconds that a schema's pattern may take on one string.
+PATTERN_SECONDS = 5
+
+
+def _matches(pattern: str, text: str) -> bool:
+    return regex.search(pattern, text, timeout=PATTERN_SECONDS) is not None
+
+
+def valid(value, schema) -> bool:
+    """Whether a value meets a JSON schema; one that needs a malformed keyword (a bound that isn't a number, a
+    pattern that can't be read or never ends, ...) is met by no value that the keyword would judge.
+    """
+    try:
+        return fits(value, schema)
+    except (TypeError, ValueError, AttributeError, ArithmeticError, RecursionError, TimeoutError, regex.error):
+        return False
+
+
 def fits(value, schema, root=None, trail: tuple = ()) -> bool:
-    """Whether a value meets a JSON schema: type, enum, const, properties, patternProperties, required,
+    """Whether a value meets a well-formed JSON schema: type, enum, const, properties, patternProperties, required,
     additionalProperties, items, uniqueItems, bounds, multipleOf, allOf, anyOf, oneOf, not, if, and $ref inside the schema.
     """
     root = schema if root is None else root
@@ -141,14 +172,14 @@ def fits(value, schema, root=None, trail: tuple = ()) -> bool:
             return False
         rest = schema.get("additionalProperties", True)
         for k, v in value.items():
-            own = [*([known[k]] if k in known else []), *(s for p, s in patterns.items() if re.search(p, k))]
+            own = [*([known[k]] if k in known else []), *(s for p, s in patterns.items() if _matches(p, k))]
             if not all(fits(v, s, root) for s in own or [rest]):
                 return False
         return True
     if isinstance(value, list):
         return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) and all(fits(v, schema.get("items", True), root) for v in value) and not (schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value))
     if isinstance(value, str):
-        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) and ("pattern" not in schema or re.search(schema["pattern"], value) is not None)
+        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) and ("pattern" not in schema or _matches(schema["pattern"], value))
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         above, below = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
         # older schemas have true here, for the bound beside it
@@ -209,8 +240,59 @@ def parse(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "role", "text").distinct().mapInArrow(run, ITEMS)
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """Topological level of each identified call (conv_id, id, turn, needs): conv_id, id, level, after (latest turn needed)."""
+#: A conversation with at most so many needs is ordered in one task, a larger one by joins.
+SMALL = 20_000
+
+
+def _ordered_small(rows: DataFrame) -> DataFrame:
+    """Levels of whole conversations, one a row: conv_id, calls (structs of id, turn, needs)."""
+
+    def order(calls: list[dict]) -> Iterator[tuple[str, int, int]]:
+        waits = {c["id"]: len(c["needs"]) for c in calls}
+        turn = {c["id"]: c["turn"] for c in calls}
+        users: dict[str, list[str]] = {}
+        for c in calls:
+            for n in c["needs"]:
+                users.setdefault(n, []).append(c["id"])
+        level, ready = 0, [k for k, n in waits.items() if not n]
+        while ready:
+            following = []
+            for k in ready:
+                yield k, level, turn[k]
+                for u in users.get(k, ()):
+                    # a null turn says nothing
+                    turn[u] = max((t for t in (turn[u], turn[k]) if t is not None), default=None)
+                    waits[u] -= 1
+                    if not waits[u]:
+                        following.append(u)
+            level, ready = level + 1, following
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [(conv, *x) for conv, calls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in order(calls)]
+            conv, key, level, after = zip(*done) if done else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(key, pa.string()), pa.array(level, pa.int32()), pa.array(after, pa.int64())], ["conv_id", "id", "level", "after"])
+
+    return rows.mapInArrow(run, "conv_id long, id string, level int, after long")
+
+
+def levels(calls: DataFrame, small: int = SMALL) -> DataFrame:
+    """Topological level of each identified call (conv_id, id, turn, needs): conv_id, id, level, after (latest turn needed).
+
+    Conversations of at most ``small`` calls and needs are ordered whole, all in one pass; the others level by level.
+    """
+    calls = calls.where("conv_id IS NOT NULL").select("conv_id", "id", "turn", "needs")
+    size = calls.groupBy("conv_id").agg(F.sum(F.size("needs") + 1).alias("size"))
+    sized = materialize(calls.join(size, "conv_id"), "chat-calls")
+    # the conversations gathered are those counted as small
+    whole = sized.where(F.col("size") <= small).groupBy("conv_id").agg(F.collect_list(F.struct("id", "turn", "needs")).alias("calls"))
+    large = sized.where(F.col("size") > small).drop("size")
+    done = _ordered_small(whole)
+    return done.unionByName(levels_by_joins(large)) if large.limit(1).count() else done
+
+
+def levels_by_joins(calls: DataFrame) -> DataFrame:
+    """``levels`` where conversations are too large for one task: a round of joins for each level."""
     edges = calls.select("conv_id", "id", F.explode("needs").alias("need"))
     done = materialize(calls.where(F.size("needs") == 0).select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("after")), "chat-levels")
     waiting = materialize(edges, "chat-edges")
@@ -221,12 +303,12 @@ def levels(calls: DataFrame) -> DataFrame:
         met = waiting.join(done.select("conv_id", F.col("id").alias("need"), F.lit(1).alias("met"), "after"), ["conv_id", "need"], "left")
         ready = met.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.count("met").alias("m"), F.max("after").alias("after")).where("n = m")
         ready = ready.join(calls.select("conv_id", "id", "turn"), ["conv_id", "id"]).select("conv_id", "id", F.lit(level).alias("level"), F.greatest("turn", "after").alias("after"))
-        ready = materialize(ready, "chat-levels")
-        waiting = materialize(waiting.join(ready, ["conv_id", "id"], "left_anti"), "chat-edges")
+        done = materialize(done.unionByName(ready), "chat-levels")
+        waiting = materialize(waiting.join(done, ["conv_id", "id"], "left_anti"), "chat-edges")
         left = waiting.count()
         if left == count:
             break  # cycles and unknown needs
-        done, count = done.unionByName(ready), left
+        count = left
     return done
 
 
@@ -251,13 +333,13 @@ def chat_format(messages: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            valid, made = [], []
+            verdicts, made = [], []
             for row in batch.select(["id", "name", "arguments", "schema"]).to_pylist():
                 arguments = json.loads(row["arguments"])
-                valid.append(row["schema"] is None or fits(arguments, json.loads(row["schema"])))
+                verdicts.append(row["schema"] is None or valid(arguments, json.loads(row["schema"])))
                 made.append(canonical({"id": row["id"], "name": row["name"], "arguments": arguments}))
             cell = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([cell("message"), cell("after"), cell("level"), cell("answered"), pa.array(valid, pa.bool_()), cell("place"), pa.array(made, pa.string())], [f.split()[0] for f in fields.split(", ")])
+            yield pa.RecordBatch.from_arrays([cell("message"), cell("after"), cell("level"), cell("answered"), pa.array(verdicts, pa.bool_()), cell("place"), pa.array(made, pa.string())], [f.split()[0] for f in fields.split(", ")])
 
     checked = linked.select("message", "after", "level", F.col("answers").isNotNull().alias("answered"), "place", "id", "name", "arguments", "schema").mapInArrow(check, fields)
     by_message = checked.groupBy("message").agg(
@@ -303,3 +385,54 @@ SELECT DISTINCT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS level,
        '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
 FROM conversations
 """
+
+
+def with_calls(messages: DataFrame) -> DataFrame:
+    """A view of plain conversations in which tools are declared, called and answered.
+
+    Turns are doubled, so that results have room between them. The first message of each conversation gets a system
+    message before it that declares the tool ``note``, of a whole number up to 300. Every assistant message calls it with
+    its length; every third such call of a conversation needs none, the others the one before. Calls are answered at the
+    turn after theirs, those at a turn divisible by 8 at the turn before, and each fourth one isn't.
+    """
+    messages.createOrReplaceTempView("_chat_plain")
+    return messages.sparkSession.sql(_WITH_CALLS.format(table="_chat_plain"))
+
+
+_WITH_CALLS = """
+WITH said AS (SELECT conv_id, 2 * turn AS turn, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM {table} WHERE role = 'assistant'),
+told AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM said)
+SELECT conv_id, 2 * turn AS turn, role, text FROM {table} WHERE role <> 'assistant'
+UNION ALL
+SELECT conv_id, 2 * min(turn) - 1, 'system', '<tools>[{{"name":"note","parameters":{{"properties":{{"n":{{"maximum":300,"type":"integer"}}}},"required":["n"],"type":"object"}}}}]</tools>' FROM {table} GROUP BY conv_id
+UNION ALL
+SELECT conv_id, turn, 'assistant', concat(text, '<tool_call>{{"id":"c', turn, '","name":"note","arguments":{{"n":', n, CASE WHEN k % 3 <> 0 THEN concat(',"of":{{"$ref":"c', earlier, '"}}') ELSE '' END, '}}}}</tool_call>') FROM told
+UNION ALL
+SELECT conv_id, CASE WHEN turn % 8 = 0 THEN turn - 1 ELSE turn + 1 END, 'tool', concat('{{"tool_call_id":"c', turn, '","content":"noted ', k, '"}}') FROM told WHERE k % 4 <> 3
+"""
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat_format`` over ``with_calls`` of the whole table, which itself holds no calls."""
+    return chat_format(with_calls(documents(spark, sf_dir, "conversations")))
+
+
+LINKED_ORACLE = """
+WITH said AS (SELECT conv_id, 2 * turn AS turn, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE role = 'assistant'),
+told AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM said)
+SELECT conv_id, 2 * turn AS turn, role, 2 * turn AS order_turn, 0::INTEGER AS level, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid,
+       '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || to_json(role)::VARCHAR || '}' AS json
+FROM conversations WHERE role <> 'assistant'
+UNION ALL
+SELECT conv_id, 2 * min(turn) - 1, 'system', 2 * min(turn) - 1, 0, 0, 0, 0,
+       '{"content":' || to_json('<tools>[{"name":"note","parameters":{"properties":{"n":{"maximum":300,"type":"integer"}},"required":["n"],"type":"object"}}]</tools>')::VARCHAR || ',"role":"system"}'
+FROM conversations GROUP BY conv_id
+UNION ALL
+SELECT conv_id, turn, 'assistant', turn, (k % 3)::INTEGER, 1, (k % 4 <> 3)::BIGINT, (n > 300)::BIGINT,
+       '{"content":' || to_json(text)::VARCHAR || ',"role":"assistant","tool_calls":[{"arguments":{"n":' || n || CASE WHEN k % 3 <> 0 THEN ',"of":{"$ref":"c' || earlier || '"}' ELSE '' END || '},"id":"c' || turn || '","name":"note"}]}'
+FROM told
+UNION ALL
+SELECT conv_id, CASE WHEN turn % 8 = 0 THEN turn - 1 ELSE turn + 1 END, 'tool', CASE WHEN turn % 8 = 0 THEN turn ELSE turn + 1 END, (k % 3 + 1)::INTEGER, 0, 1, 0,
+       '{"content":"noted ' || k || '","name":"note","role":"tool","tool_call_id":"c' || turn || '"}'
+FROM told WHERE k % 4 <> 3
+"""

@@ -59,8 +59,24 @@ def load_encoder(path: str):
         raise ValueError(f"{path} is not a plain byte-level BPE vocabulary in merge order")
     ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return _loaded[path]
+    _loaded[path] = encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return encoder
+
+
+def encode(path: str, text: str) -> np.ndarray:
+    """Ids of a text as the ``tokenizers`` library gives them without its own special tokens."""
+    try:
+        ids = load_encoder(path).encode_to_numpy(text, allowed_special="all")
+    except (ValueError, RuntimeError):
+        # the pattern's look-ahead gives up on very long white space; the library itself doesn't
+        from tokenizers import Tokenizer
+
+        key = f"{path} as is"
+        if key not in _loaded:
+            _loaded[key] = Tokenizer.from_file(path)
+            _loaded[key].no_truncation(), _loaded[key].no_padding()
+        ids = np.array(_loaded[key].encode(text, add_special_tokens=False).ids)
+    return ids.astype("<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -73,11 +89,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """doc_id, piece, start, length, ids_crc32 of all pieces; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(path)
         for batch in blocks(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all").astype("<u4"), np.array([end], "<u4"))
+                ids = np.append(encode(path, text or ""), np.array([end], "<u4"))
                 rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             doc, k, s, n, crc = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])

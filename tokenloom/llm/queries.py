@@ -14,6 +14,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6,
     "op10_near_dedup": near_dedup.ORACLE,
     "op7_tool_call_linking": chat_format.op7,
+    "linked_tool_calls": chat_format.linked,
     "op8_simhash": lambda spark, sf_dir: simhash.op8(spark, documents(spark, sf_dir)),
     "op9_toxicity": toxicity.op9,
     "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10(spark, documents(spark, sf_dir)),
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
     "op7_tool_call_linking": chat_format.ORACLE,
+    "linked_tool_calls": chat_format.LINKED_ORACLE,
 }
