@@ -280,3 +280,12 @@ def test_unigram_query_keeps_long_pieces(spark, tmp_path):
     spark.createDataFrame([(" ".join(["internationally"] * 50),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
     tokens = {r.token for r in queries.unigram_vocabulary(spark, str(tmp_path)).collect()}
     assert "internationally" in tokens or "Ġinternationally" in tokens
+
+
+def test_draws_go_on_until_the_count_is_full(spark):
+    docs = spark.createDataFrame([("a", "f", 1), ("b", "g", 2), ("b", "g", 3), ("b", "h", 4)], "source string, file string, doc_id long")
+    counts = spark.createDataFrame([("a", 1500), ("b", 7), ("c", 0)], "source string, rows long")
+    out = {r.source: r["count"] for r in sampling.draw_sample(docs, counts, 3).groupBy("source").count().collect()}
+    assert out == {"a": 1500, "b": 7}
+    with pytest.raises(ValueError, match="no rows"):
+        sampling.draw_sample(docs, spark.createDataFrame([("c", 1)], "source string, rows long"), 3)

@@ -118,12 +118,22 @@ def preview(text: Column, width: int = 80) -> Column:
 
 
 def all_digits(token: Column) -> Column:
-    return token.rlike("^[0-9]+$")
+    return token.rlike("^[0-9]*$")
 
 
 def can_supermerge(token: Column) -> Column:
-    """Tokens that a merge across words may use: they hold a letter after at most one space symbol."""
-    return token.rlike("^Ġ?[A-Za-z]")
+    """Byte-level tokens of spaces, underscores, apostrophes and ASCII letters only."""
+    return token.rlike("^[Ġ_'A-Za-z]*$")
+
+
+def could_merge(token: Column) -> Column:
+    """What a merge across words may join: those characters with a letter among them; a line feed may end it."""
+    return token.rlike("^[Ġ_'A-Za-z]*[A-Za-z][Ġ_'A-Za-z]*Ċ?$")
+
+
+def can_merge(left: Column, right: Column, across: bool) -> Column:
+    """Whether two tokens may be joined: any inside words, across words only if each could."""
+    return could_merge(left) & could_merge(right) if across else F.lit(True)
 
 
 def deep_morphemes(structure: Column) -> Column:

@@ -73,13 +73,20 @@ def draw_counts(spark, sources: list[str], n: int, seed: int) -> DataFrame:
     return every.join(drawn.groupBy("source").agg(F.count("*").alias("rows")), "source", "left").select("source", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-def draw_sample(docs: DataFrame, counts: DataFrame, seed: int, draws: int = 1000, source: str = "source", file: str = "file", key: str = "doc_id") -> DataFrame:
+def draw_sample(docs: DataFrame, counts: DataFrame, seed: int, source: str = "source", file: str = "file", key: str = "doc_id") -> DataFrame:
     """Draw files with replacement from each source and take rows of each draw in its own order until the
-    source's count is reached. A row can come back with another draw."""
+    source's count is reached. A row can come back with another draw. Sources to draw from must have rows."""
     sizes = docs.groupBy(source, file).agg(F.count("*").alias("size"))
     place = F.row_number().over(Window.partitionBy(source).orderBy(file)) - 1  # a row a file
     files = sizes.withColumn("place", place).withColumn("files", F.count("*").over(Window.partitionBy(source)))
-    tries = counts.where("rows > 0").join(files.select(source, "files").distinct(), source).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    wanted = counts.where("rows > 0")
+    none = [r[0] for r in wanted.join(sizes, source, "left_anti").select(source).limit(10).collect()]
+    if none:
+        raise ValueError(f"no rows to draw from in {none}")
+    # so many draws fill the count even if each hits the smallest file; windows over draws, not over rows
+    draws = F.ceil(F.col("rows") / F.col("least")).cast("int")
+    least = files.groupBy(source).agg(F.first("files").alias("files"), F.min("size").alias("least"))
+    tries = wanted.join(least, source).withColumn("draw", F.explode(F.sequence(F.lit(0), draws - 1))).drop("least")
     tries = tries.withColumn("place", F.floor(uniform(hash_key(seed, source, "draw")) * F.col("files")).cast("int")).join(files.select(source, "place", file, "size"), [source, "place"])
     before = F.coalesce(F.sum("size").over(Window.partitionBy(source).orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = tries.withColumn("before", before).where(F.col("before") < F.col("rows")).withColumn("take", F.least("size", F.col("rows") - F.col("before")))

@@ -208,21 +208,37 @@ def first_differences(spark, sf_dir):
     return docs.select("doc_id", F.coalesce(text.first_difference(words(F.col("text")), words(F.replace("text", F.lit(","), F.lit("")))), F.lit(-1)).alias("first_difference"))
 
 
-@query(f"WITH {sql.counts()} SELECT pretoken, regexp_full_match(pretoken, '[0-9]+') AS all_digits, regexp_matches(pretoken, '^Ġ?[A-Za-z]') AS can_supermerge FROM pretok")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What is left of a token without the bytes that merges across words take, and without its letters.
+_REST, _NO_LETTERS = f"translate(x, 'Ġ_''{_LETTERS}', '')", f"translate(x, '{_LETTERS}', '')"
+_COULD = f"(translate(CASE WHEN right(x, 1) = 'Ċ' THEN left(x, -1) ELSE x END, 'Ġ_''{_LETTERS}', '') = '' AND {_NO_LETTERS} <> x)"
+
+
+@query(f"""WITH {sql.counts()}, h AS (SELECT pretoken, substr(pretoken, 1, length(pretoken) // 2) AS l, substr(pretoken, length(pretoken) // 2 + 1) AS r FROM pretok)
+SELECT pretoken, translate(pretoken, '0123456789', '') = '' AS all_digits, {_REST.replace("(x", "(pretoken")} = '' AS can_supermerge,
+{_COULD.replace("x,", "pretoken,").replace("<> x", "<> pretoken").replace("ELSE x", "ELSE pretoken")} AS could_merge,
+{_COULD.replace("x,", "l,").replace("<> x", "<> l").replace("ELSE x", "ELSE l")} AND {_COULD.replace("x,", "r,").replace("<> x", "<> r").replace("ELSE x", "ELSE r")} AS halves_merge FROM h""")
 def merge_tests(spark, sf_dir):
-    return _counts(spark, sf_dir).select("pretoken", text.all_digits(F.col("pretoken")).alias("all_digits"), text.can_supermerge(F.col("pretoken")).alias("can_supermerge"))
+    token, n = F.col("pretoken"), F.floor(F.length("pretoken") / 2).cast("int")
+    halves = text.can_merge(F.substring(token, F.lit(1), n), F.substring(token, n + 1, F.length(token)), across=True)
+    return _counts(spark, sf_dir).select("pretoken", text.all_digits(token).alias("all_digits"), text.can_supermerge(token).alias("can_supermerge"), text.could_merge(token).alias("could_merge"), halves.alias("halves_merge"))
+
+
+def _cut_cost(p: str) -> str:
+    left, right = f"({p} - {p} % 3)", f"least({p} - {p} % 3 + 3, n)"
+    return f"CASE WHEN {p} > {left} AND {p} < {right} THEN 2.0 * least({p} - {left}, {right} - {p}) / ({right} - {left}) ELSE 0 END"
 
 
-#: A span every three characters stands for a morphological analysis.
+#: A span every three characters, the last up to the end, stands for a morphological analysis.
 @query(f"""WITH {sql.counts()}, {sql.CANDIDATES},
-e AS (SELECT token, frequency, s, e, length(pretoken) AS n FROM occurrences JOIN candidates USING (token) WHERE length(pretoken) % 3 = 0),
-p AS (SELECT token, frequency, (2.0 * least(s % 3, 3 - s % 3) + 2.0 * least(e % 3, 3 - e % 3)) / 3 AS penalty FROM e)
+e AS (SELECT token, s, e, length(pretoken) AS n FROM occurrences JOIN candidates USING (token)),
+p AS (SELECT token, {_cut_cost("s")} + {_cut_cost("e")} AS penalty FROM e)
 SELECT token, count(*) AS edges, sum(CASE WHEN penalty > 0 THEN 1 ELSE 0 END)::BIGINT AS penalised, round(sum(penalty), 6) AS total FROM p GROUP BY token""")
 def morphology_penalties(spark, sf_dir):
     counts = materialize(_counts(spark, sf_dir), "counts")
     tokens = counting.candidate_counts(counts)
-    rows = counting.occurrences(counts.where(F.length("pretoken") % 3 == 0)).join(tokens.select("token"), "token", "left_semi")
-    spans = F.transform(F.sequence(F.lit(0), F.length("pretoken") - 3, F.lit(3)), lambda s: F.struct(s.alias("left"), (s + 3).alias("right")))
+    rows = counting.occurrences(counts).join(tokens.select("token"), "token", "left_semi")
+    spans = F.transform(F.sequence(F.lit(0), F.length("pretoken") - 1, F.lit(3)), lambda s: F.struct(s.alias("left"), F.least(s + 3, F.length("pretoken")).alias("right")))
     penalty = text.edge_penalty(F.col("start"), F.col("end"), F.array(spans))
     return rows.select("token", penalty.alias("penalty")).groupBy("token").agg(F.count("*").alias("edges"), F.count_if(F.col("penalty") > 0).alias("penalised"), F.round(F.sum("penalty"), 6).alias("total"))
 
@@ -307,7 +323,7 @@ SELECT source, file, draw::INTEGER AS draw, doc_id, rank::INTEGER AS rank FROM r
 def draw_sample(spark, sf_dir):
     docs = _read(spark, sf_dir).select(F.col("lang").alias("source"), F.col("source").alias("file"), "doc_id")
     counts = docs.select("source").distinct().withColumn("rows", F.lit(40).cast("long"))
-    return sampling.draw_sample(docs, counts, SEED, draws=200).select("source", "file", "draw", "doc_id", "rank")
+    return sampling.draw_sample(docs, counts, SEED).select("source", "file", "draw", "doc_id", "rank")
 
 
 @query(f"""WITH p AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
@@ -436,7 +452,22 @@ def _pretokens() -> F.Column:
     return F.transform(text.split("text"), text.byte_level)
 
 
-@query()
+_FREQUENT = f"""{sql.counts()}, {sql.ALPHABET_TABLE},
+ranked AS (SELECT pretoken, row_number() OVER (ORDER BY frequency DESC, pretoken) AS r FROM pretok WHERE pretoken NOT IN (SELECT token FROM alphabet)),
+vocabulary AS MATERIALIZED (SELECT token FROM alphabet UNION ALL SELECT pretoken FROM ranked WHERE r <= {VOCABULARY - 256})"""
+
+
+#: Places reached with each number of tokens, from the start of each distinct pretoken.
+@query(f"""WITH RECURSIVE {_FREQUENT},
+lens AS (SELECT unnest(range(0, length(pretoken))) AS s, pretoken FROM pretok),
+pieces AS (SELECT pretoken, s, unnest(range(s + 1, least(length(pretoken), s + (SELECT max(length(token)) FROM vocabulary)) + 1)) AS e FROM lens),
+arcs AS MATERIALIZED (SELECT pretoken, s, e FROM pieces WHERE substr(pretoken, s + 1, e - s) IN (SELECT token FROM vocabulary)),
+reached AS (SELECT pretoken, 0::BIGINT AS place, 0 AS k FROM pretok UNION SELECT reached.pretoken, arcs.e, k + 1 FROM reached JOIN arcs ON arcs.pretoken = reached.pretoken AND arcs.s = place),
+fewest AS (SELECT pretoken, min(k) AS k FROM reached WHERE place = length(pretoken) GROUP BY pretoken),
+each AS (SELECT doc_id, unnest({sql.pieces('text')}) AS w FROM documents WHERE text IS NOT NULL),
+spelled AS (SELECT w, {sql.byte_level('w')} AS pretoken FROM distinct_words),
+total AS (SELECT doc_id, sum(k)::BIGINT AS n_tokens FROM each JOIN spelled USING (w) JOIN fewest USING (pretoken) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens FROM documents LEFT JOIN total USING (doc_id)""")
 def encoded_documents(spark, sf_dir):
     """Tokens of each document in a frequent vocabulary, by fewest tokens."""
     docs = _read(spark, sf_dir)
@@ -478,8 +509,8 @@ def unigram_vocabulary(spark, sf_dir):
 
 @query()
 def lp_vocabulary(spark, sf_dir):
-    """The linear program over the 4,000 most frequent pretokens of all, by choice of the solver's size."""
-    counts = materialize(vocabulary.best(_counts(spark, sf_dir), 4000, [F.desc("frequency"), F.asc("pretoken")]).drop("rank"), "counts")
+    """The linear program over all pretokens; an error where the graph is larger than the driver's solver takes."""
+    counts = materialize(_counts(spark, sf_dir), "counts")
     tokens = counting.token_ids(counting.candidate_counts(counts))
     graph = lp.load(counts, counting.edges(counts, tokens))
     return lp.as_table(spark, graph, lp.solve(graph, 1024, rounds=200, tolerance=0.02))
