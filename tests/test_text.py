@@ -134,6 +134,6 @@ def test_merges_across_words(spark):
     # as bytes: only spaces, underscores, apostrophes and letters; a merge needs a letter on both sides
     cases = {"a1": (False, False), "Ġthe": (True, True), "don't": (True, True), "Ġ": (True, False), "_'": (True, False), "abĊ": (False, True), "": (True, False), "Ã©": (False, False)}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    rows = df.select("t", text.can_supermerge(F.col("t")), text.could_merge(F.col("t")), text.can_merge(F.col("t"), F.lit("Ġx"), True), text.can_merge(F.col("t"), F.lit("1"), False)).collect()
+    rows = df.select("t", T.can_supermerge(F.col("t")), T.could_merge(F.col("t")), T.can_merge(F.col("t"), F.lit("Ġx"), True), T.can_merge(F.col("t"), F.lit("1"), False)).collect()
     assert {r[0]: (r[1], r[2]) for r in rows} == cases
     assert all(r[3] == r[2] and r[4] for r in rows)
