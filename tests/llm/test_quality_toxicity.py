@@ -114,3 +114,78 @@ def test_repeated_labels_and_rows(spark):
     again = T.train(docs.unionByName(docs), known.unionByName(known))
     once = T.train(docs, known)
     assert again.threshold == once.threshold and again.links[-1].terms == once.links[-1].terms
+
+
+def test_threshold_is_calibrated_on_rows_no_tree_has_seen(spark):
+    """Of new good documents about FALSE_REJECTS are lost."""
+    rows, docs, known = quality_corpus(spark, 900)
+    model = Q.train(docs, known)
+    fresh = [prose(10_000 + i, 120) for i in range(400)]
+    _, odd = model.rejects(np.array([Q.statistics(t, WordHashes()) for t in fresh]))
+    assert odd.sum() <= 12
+    _, odd = model.rejects(np.array([Q.statistics(junk(20_000 + i), WordHashes()) for i in range(100)]))
+    assert odd.sum() >= 97
+
+
+def test_repeated_ids_with_other_texts_fit_the_same_in_any_order(spark):
+    rows, docs, known = quality_corpus(spark, 120)
+    other = docs.unionByName(spark.createDataFrame([(i, junk(i + 7)) for i in range(0, 60, 2)], "doc_id long, text string"))
+    models = [Q.train(d, known) for d in (other.repartition(3), other.orderBy("text"))]
+    assert models[0].threshold == models[1].threshold
+    docs, known = toxic_corpus(spark, 120)
+    other = docs.unionByName(docs.selectExpr("doc_id + 2 AS doc_id", "text", "lang"))
+    chains = [T.train(d, known) for d in (other.repartition(3), other.orderBy("text"))]
+    assert chains[0].threshold == chains[1].threshold and [x.terms for x in chains[0].links] == [x.terms for x in chains[1].links]
+
+
+def test_a_category_for_each_of_many_languages(spark):
+    docs, known = toxic_corpus(spark, 400)
+    docs = docs.selectExpr("doc_id", "text", "concat('l', doc_id % 20) AS lang")
+    known = known.where("doc_id % 5 <> 1").selectExpr("doc_id", "quality", "CAST(doc_id % 3 = 1 AS int) AS toxic")
+    assert len(T.train(docs, known).names) == 22 - sum(k % 5 == 1 for k in range(20))
+
+
+def by_definition(chain, text):
+    """Probabilities of one text, summed word by word from the models themselves."""
+    import regex
+
+    words = regex.findall(r"\p{L}+", (text or "").lower())
+    logits = []
+    for link in chain.links:
+        total = sum(link.terms.get(T._bucket(t), 0.0) for w in words for t in [w] + [w[:k] + "*" for k in range(3, min(7, len(w)) + 1)])
+        z = link.bias + 50 * total / (len(words) + 20) + sum(a * b for a, b in zip(link.earlier, logits))
+        logits.append(min(12, max(-12, z)))
+    return [1 / (1 + np.exp(-z)) for z in logits]
+
+
+def test_scores_against_the_definition(spark):
+    docs, known = toxic_corpus(spark, 200)
+    chain = T.train(docs, known)
+    for r in T.score(docs, chain).collect() + T.score(edge_docs(spark), chain).collect():
+        p = by_definition(chain, r.text)
+        assert abs(r.p_toxic - p[-1]) < 1e-9 and r.toxic == (p[-1] >= chain.threshold and any(c.isalpha() for c in r.text or ""))
+
+
+def test_chain_is_fitted_out_of_fold(spark):
+    """What a later link learns from is made by models that have not seen the row: fitted again by definition."""
+    docs, known = toxic_corpus(spark, 150)
+    rows = T.labelled(docs, known)
+    x = np.zeros((len(rows), T.BUCKETS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r.terms] = 50.0 * np.array(r.times) / (r.words + 20)
+    toxic = np.array([r.toxic > 0 for r in rows])
+    names = {"low_quality": np.zeros(len(rows), bool), "toxic_de": toxic & np.array([r.lang == "de" for r in rows]), "toxic_en": toxic & np.array([r.lang == "en" for r in rows]), "toxic": toxic}
+    folds = np.array([(r.doc_id * 2654435761 >> 7) % T.FOLDS for r in rows])
+    at, cols = np.nonzero(x)
+    out = np.zeros((len(rows), 4))
+    for k, y in enumerate(names.values()):
+        for f in range(T.FOLDS):
+            seen = folds != f
+            best = T._best_terms(at, cols, T.BUCKETS, y.astype(float), seen, T.TERMS)
+            own = np.hstack([x[:, best], out[:, :k]])
+            w = T.fit_logistic(own[seen], y[seen].astype(float))
+            out[~seen, k] = np.clip(own[~seen] @ w[:-1] + w[-1], -12, 12)
+    best = T._best_terms(at, cols, T.BUCKETS, toxic.astype(float), np.ones(len(rows), bool), T.TERMS)
+    w = T.fit_logistic(np.hstack([x[:, best], out[:, :3]]), toxic.astype(float))
+    last = T.train(docs, known).links[-1]
+    assert np.allclose(last.earlier, w[-4:-1], atol=1e-3) and abs(last.bias - w[-1]) < 1e-3

@@ -14,11 +14,11 @@ The models are fitted on a bounded sample: the ``most`` labelled rows first in h
 word's weights in all models are summed once and remembered.
 
 The label table gives two labels. The chain's categories are: low_quality; one category toxic_<lang> for
-each language among the labelled toxic rows; toxic. A document is toxic if its last probability is
+each language among the labelled toxic rows of the sample, if there are several; toxic. A document is toxic if its last probability is
 at least the threshold that gives the best F1 on out-of-fold predictions.
 
 Null or empty texts have the prior probabilities and count as not toxic. Rows with null doc_id or null
-labels aren't used for fitting; where a doc_id is labelled twice, the first by label order counts. With
+labels aren't used for fitting; of a doc_id with several texts one is, the first in hash order; where a doc_id is labelled twice, the first by label order counts. With
 no usable labels, or none positive, all probabilities are 0 and nothing is toxic. Extra columns stay, except that one
 with the name of a result column is replaced.
 """
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from tokenloom.llm._common import blocks, documents, plus, without
 
 MOST_LABELLED = 4000
-MOST_LANGUAGES = 16
 TERMS = 160
 BUCKETS = 1 << 21
 FOLDS = 5
@@ -116,25 +115,25 @@ def _bucket(term: str) -> int:
     return zlib.crc32(term.encode()) & (BUCKETS - 1)
 
 
-def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse term counts: row, term bucket, count; and the words of each text."""
-    of_word: dict[str, np.ndarray] = {}
-    rows, cols, n, total = [], [], [], np.zeros(len(texts), np.float32)
-    for i, text in enumerate(texts):
-        words = _words(text)
-        total[i] = len(words)
-        ids = []
-        for w in words:
-            if w not in of_word:
-                if len(of_word) > 100_000:
-                    of_word.clear()
-                of_word[w] = np.array([_bucket(t) for t in terms_of(w)], np.int32)
-            ids.append(of_word[w])
-        if ids:
-            found, times = np.unique(np.concatenate(ids), return_counts=True)
-            rows.append(np.full(len(found), i, np.int32)), cols.append(found), n.append(times.astype(np.float32))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(rows, np.int32), join(cols, np.int32), join(n, np.float32), total
+class Terms(dict):
+    """Term buckets by word, remembered; forgets everything when it has grown to ``most`` words."""
+
+    most = 100_000
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = np.array([_bucket(t) for t in terms_of(word)], np.int32)
+        return found
+
+
+def term_counts(text: str | None, known: Terms) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct term buckets of a text, their counts, and its words."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+    found, times = np.unique(np.concatenate(list(map(known.__getitem__, words))), return_counts=True)
+    return found, times, len(words)
 
 
 def _best_terms(rows, cols, size: int, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
@@ -167,14 +166,16 @@ def _columns(rows, cols, values, chosen: np.ndarray, size: int, n: int) -> np.nd
     return x
 
 
-def fit_chain(texts: list[str], labels: dict[str, np.ndarray], folds: np.ndarray, terms: int = TERMS) -> Chain:
-    """Fit one link for each label, in order; the last one is the verdict."""
+def fit_chain(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: dict[str, np.ndarray], folds: np.ndarray, terms: int = TERMS) -> Chain:
+    """Fit one link for each label, in order; the last one is the verdict. ``texts``: their ``term_counts``."""
     n = len(texts)
     links = [Link(name, earlier=np.zeros(k)) for k, name in enumerate(labels)]
     verdict = list(labels.values())[-1]
     if not n or not verdict.any() or verdict.all():
         return Chain(links, 1.1)
-    rows, cols, values, total = _counts(texts)
+    rows = np.repeat(np.arange(n), [len(t[0]) for t in texts])
+    cols, values = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts]).astype(np.float32)
+    total = np.array([t[2] for t in texts], np.float32)
     values *= np.float32(SCALE) / (total[rows] + np.float32(SMOOTH))
     size = BUCKETS
     out = np.zeros((n, len(links)))
@@ -205,29 +206,81 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], folds: np.ndarray
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list:
-    """The bounded training sample, at most ``most`` rows, in hash order of doc_id."""
-    sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("toxic", "quality")).alias("l")).select("doc_id", "l.toxic", "l.quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """The bounded training sample, at most ``most`` rows, in hash order of doc_id: labels, lang, terms, times, words.
+
+    Terms are counted where the texts are. Of a doc_id with several texts the first in hash order counts.
+    """
+    sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("toxic", "quality")).alias("l")).select("doc_id", F.col("l.toxic").cast("long").alias("toxic"), F.col("l.quality").cast("long").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    text = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(sample), "doc_id")
-    # repeated ids: still at most ``most`` rows come back
-    return text.orderBy(F.xxhash64("doc_id"), "doc_id", "text").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    text = docs.where("doc_id IS NOT NULL").select("doc_id", "text", lang.alias("lang")).join(F.broadcast(sample), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Terms()
+        for batch in blocks(batches):
+            found = [term_counts(t, known) for t in batch.column(1).to_pylist()]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array([f[k] for f in found], kinds[k]) for k in range(3))], ["doc_id", *batch.schema.names[2:], "terms", "times", "words"])
+
+    rows = text.select("doc_id", "text", "lang", "toxic", "quality", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, lang string, toxic long, quality long, hash long, terms array<int>, times array<long>, words long")
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("lang", "toxic", "quality", "terms", "times", "words"), F.struct("hash", "lang")).alias("r"))
+    return first.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "r.*").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
     rows = labelled(docs, labels, most)
     toxic = np.array([r.toxic for r in rows], np.int64) > 0
-    langs = sorted({r.lang for r in rows if r.toxic > 0 and r.lang})[:MOST_LANGUAGES]
+    langs = sorted({r.lang for r in rows if r.toxic > 0 and r.lang})
     chain = {"low_quality": np.array([r.quality is not None and r.quality <= 0 for r in rows], bool)}
     for lang in langs if len(langs) > 1 else []:
         chain[f"toxic_{lang}"] = toxic & np.array([r.lang == lang for r in rows], bool)
     chain["toxic"] = toxic
     folds = np.array([(r.doc_id * 2654435761 >> 7) % FOLDS for r in rows], np.int64)
-    return fit_chain([r.text for r in rows], chain, folds)
+    return fit_chain([(np.array(r.terms, np.int32), np.array(r.times, np.int64), r.words) for r in rows], chain, folds)
 
 
 RESULT = "p_toxic double, toxic boolean, categories string"
 
 
+class Weights(dict):
+    """Numbers of words: 0 for those without weight, else the row of their weights in all models."""
+
+    most = 300_000
+
+    def __init__(self, chain: Chain):
+        super().__init__()
+        self.width = len(chain.links)
+        self.of_term: dict[int, np.ndarray] = {}
+        for k, link in enumerate(chain.links):
+            for t, w in link.terms.items():
+                self.of_term.setdefault(t, np.zeros(self.width))[k] = w
+        self.rows: list[np.ndarray] = [np.zeros(self.width)]
+
+    def __missing__(self, word: str) -> int:
+        own = [w for t in terms_of(word) if (w := self.of_term.get(_bucket(t))) is not None]
+        self[word] = len(self.rows) if own else 0
+        if own:
+            self.rows.append(np.sum(own, axis=0))
+        return self[word]
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed weights (texts x models) and word counts."""
+        if len(self) > self.most:
+            self.clear()
+            del self.rows[1:]
+        words = np.zeros(len(texts))
+        ids, owners = [], []
+        for i, text in enumerate(texts):
+            found = _words(text)
+            words[i] = len(found)
+            own = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+            own = own[own > 0]
+            ids.append(own)
+            owners.append(np.full(len(own), i))
+        at, row = np.concatenate(ids), np.concatenate(owners)
+        table = np.array(self.rows)
+        return np.stack([np.bincount(row, table[at, k], len(texts)) for k in range(self.width)], axis=1).astype(float), words
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` plus p_toxic double, toxic boolean and categories string (name=probability, ...)."""
     docs = without(docs, RESULT)
@@ -235,22 +288,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, ...] | None] = {}
+        weights = Weights(chain)
         for batch in blocks(batches):
-            sums, words = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                found = _words(text)
-                words[i] = len(found)
-                for w in found:
-                    if w in known:
-                        v = known[w]
-                    else:
-                        if len(known) > 300_000:
-                            known.clear()
-                        v = chain.word_weights(w)
-                        v = known[w] = v if any(v) else None
-                    if v is not None:
-                        sums[i] += v
+            sums, words = weights.sums(batch.column(at).to_pylist())
             p = chain.probabilities(sums, words)
             toxic = (p[:, -1] >= chain.threshold) & (words > 0)
             text = [", ".join(f"{a}={b:.4f}" for a, b in zip(names, row)) for row in p.tolist()]
