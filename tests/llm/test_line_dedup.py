@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm.helpers import edge_docs, empty_docs, edge_rows, prose
 from tokenloom.llm import line_dedup
+from tokenloom.llm import line_dedup as L
 from tokenloom.llm.line_dedup import CuckooFilter, LineIndex
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -90,3 +91,29 @@ def test_full_filter_overflows():
     f = CuckooFilter(4)
     with pytest.raises(OverflowError):
         f.insert(np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def test_filters_too_large_to_send_and_hot_keys(spark, monkeypatch):
+    """The other ways: no filter is broadcast, and owners of hot keys are."""
+    rows = [(k, f"shared line of all {k % 3}\nown line number {k}\nshort") for k in range(60)] + [(None, "own line number 7\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, L.line_dedup(df).collect()))
+    assert sum(r.n_dropped for r in L.line_dedup(df).collect()) == 58
+    monkeypatch.setattr(L, "HOT_REFS", 10)
+    assert sorted(map(repr, L.line_dedup(df).collect())) == want
+    monkeypatch.setattr(L, "MOST_FILTERS", -1)
+    assert sorted(map(repr, L.line_dedup(df).collect())) == want
+
+
+def test_null_ids_can_be_deleted_and_segments_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(L, "SEGMENTS", 2)
+    rows = [(k, f"a line that is shared\nline number {k} alone") for k in range(4)]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(rows, schema)
+    index = L.LineIndex.build(spark.createDataFrame([(None, rows[0][1])], schema)).insert(docs)
+    assert sum(r.n_dropped for r in index.apply(docs).collect()) == 5
+    index = index.delete(spark.createDataFrame([(None,), (1,)], "doc_id long"))
+    left = docs.where("doc_id <> 1")
+    assert sorted(map(repr, index.apply(left).collect())) == sorted(map(repr, L.line_dedup(left).collect()))
+    index = index.insert(docs.where("doc_id = 1"))
+    assert sorted(map(repr, index.apply(docs).collect())) == sorted(map(repr, L.line_dedup(docs).collect()))

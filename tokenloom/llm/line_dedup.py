@@ -4,16 +4,25 @@ A line's key is the line without ASCII white space at both ends and with A-Z low
 at least ``min_chars`` code points that occurs in several documents is kept only in the smallest
 doc_id that holds it; there all its lines stay.
 
-The index has two parts, both sharded by key hash and both written to the shared folder:
+The index has two parts, both sharded by key hash and both in the shared folder:
 
-* an exact reference table (key, doc_id, lines): one row for each document that holds a key. It alone
-  decides, so a document can be deleted again and its lines return to the next owner;
+* an exact reference table (key, doc_id, lines): one row for each document that holds a key, from which a key's
+  count and owner follow. A document can be deleted again, and its lines return to the next owner;
 * one cuckoo filter for each shard, made of the distinct keys. An insertion asks it which keys of the
   new batch may be known; the others are new for certain and need not meet the reference table.
 
-Only 128-bit key hashes are shuffled, never the lines. A null or empty text is one empty line. Rows
-with a null doc_id sort before all others and own keys like any other document; rows that repeat a
-doc_id count as one document. Extra columns stay, except that one
+The table is kept in segments: an insertion writes only what is new and a deletion only the ids that go; after
+``SEGMENTS`` changes they are written together.
+
+A result comes through filters too: keys counted in several documents are put into one filter a shard. A scan of
+the texts asks them; a document without a hit is done where it is. For the others, references with a hit meet the
+exact owners (those of keys in more than ``HOT_REFS`` documents are broadcast, the rest shuffled), and their texts
+move once to meet the keys they lose. Where the filters are larger than ``MOST_FILTERS`` bytes, every document counts
+as one with hits.
+
+A null or empty text is one empty line. Rows
+with a null doc_id sort before all others and own keys like any other document; they can be deleted too; rows that
+repeat a doc_id count as one document. Extra columns stay, except that one
 with the name of a result column is replaced. An empty table gives an empty result.
 """
 
@@ -33,6 +42,11 @@ from tokenloom.llm._common import as_bytes, blocks, materialize, plus, without
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 200_000
+#: Bytes of filters that are broadcast at most.
+MOST_FILTERS = 64 << 20
+#: Owners of keys that more references than this share are broadcast: at most one for so many references.
+HOT_REFS = 50_000
+SEGMENTS = 16
 
 
 class CuckooFilter:
@@ -156,6 +170,7 @@ class LineIndex:
     filters: DataFrame | None
     shards: int
     min_chars: int = MIN_CHARS
+    changes: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
@@ -163,23 +178,31 @@ class LineIndex:
         shards = max(1, -(-refs.count() // keys_per_shard))
         return cls(refs, materialize(_filters(refs, shards), "line-filters"), shards, min_chars)
 
+    def _next(self, refs: DataFrame, filters: DataFrame) -> LineIndex:
+        changes = self.changes + 1
+        if changes % SEGMENTS == 0:
+            refs = materialize(refs, "line-refs")
+        return LineIndex(refs, filters, self.shards, self.min_chars, changes)
+
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents whose ids are new. Keys that the filters don't know skip the reference table."""
         new = materialize(references(docs, self.min_chars), "line-refs")
-        fresh = new.join(self.maybe_known(new), ["hi", "lo"], "left_anti")
-        known = new.join(self.maybe_known(new), ["hi", "lo"], "left_semi")
-        surely = known.join(self.refs.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti")
-        refs = materialize(self.refs.unionByName(new), "line-refs")
-        filters = materialize(_grown(self.filters, fresh.unionByName(surely), self.shards, refs), "line-filters")
-        return LineIndex(refs, filters, self.shards, self.min_chars)
+        known = materialize(self.maybe_known(new), "line-known")
+        fresh = new.join(known, ["hi", "lo"], "left_anti")
+        # only the keys reported need the exact table
+        surely = known.join(self.refs.join(known, ["hi", "lo"], "left_semi").select("hi", "lo").distinct(), ["hi", "lo"], "left_anti")
+        refs = self.refs.unionByName(new)
+        filters = materialize(_grown(self.filters, fresh.select("hi", "lo").unionByName(surely), self.shards, refs), "line-filters")
+        return self._next(refs, filters)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Take documents out again; keys that no document holds any more leave the filters."""
-        ids = ids.select("doc_id").distinct()
-        refs = materialize(self.refs.join(ids, "doc_id", "left_anti"), "line-refs")
-        gone = self.refs.join(ids, "doc_id", "left_semi").join(refs.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti")
-        filters = materialize(_shrunk(self.filters, gone, self.shards), "line-filters")
-        return LineIndex(refs, filters, self.shards, self.min_chars)
+        ids = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "line-gone")
+        same = F.col("doc_id").eqNullSafe(F.col("_gone"))
+        refs = self.refs.join(ids, same, "left_anti")
+        touched = materialize(self.refs.join(ids, same, "left_semi").select("hi", "lo").distinct(), "line-touched")
+        gone = touched.join(refs.join(touched, ["hi", "lo"], "left_semi").select("hi", "lo").distinct(), ["hi", "lo"], "left_anti")
+        return self._next(refs, materialize(_shrunk(self.filters, gone, self.shards), "line-filters"))
 
     def maybe_known(self, refs: DataFrame) -> DataFrame:
         """Distinct keys of ``refs`` that the filters report; false reports are possible, misses aren't."""
@@ -194,43 +217,122 @@ class LineIndex:
         return keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "hi long, lo long")
 
     def owners(self) -> DataFrame:
-        """Keys that several documents hold: (hi, lo, owner). The count combines before the shuffle."""
-        held = self.refs.groupBy("hi", "lo").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+        """Keys that several documents hold: (hi, lo, owner, n references). The count combines before the shuffle."""
+        held = self.refs.groupBy("hi", "lo").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"), F.count("*").alias("n"))
         # a null id sorts before all others: it owns what it holds
-        return held.where((F.col("owner") != F.col("last")) | (F.col("unnamed") & F.col("last").isNotNull())).select("hi", "lo", F.when(~F.col("unnamed"), F.col("owner")).alias("owner"))
-
-    def drops(self) -> DataFrame:
-        """For each document that loses lines, the keys it loses (16 bytes each, joined)."""
-        lost = self.refs.join(self.owners(), ["hi", "lo"]).where(F.col("doc_id").isNotNull() & (F.col("owner").isNull() | (F.col("doc_id") != F.col("owner"))))
-        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
+        return held.where((F.col("owner") != F.col("last")) | (F.col("unnamed") & F.col("last").isNotNull())).select("hi", "lo", F.when(~F.col("unnamed"), F.col("owner")).alias("owner"), "n")
+
+    def drops(self, owners: DataFrame, repeats: Repeats | None) -> DataFrame:
+        """For each document that loses lines, the keys it loses (hi and lo in turn)."""
+        refs = self.refs.select("hi", "lo", "doc_id").where("doc_id IS NOT NULL")
+        if repeats:
+            refs = repeats.filtered(refs)
+        hot = owners.where(F.col("n") > HOT_REFS).select("hi", "lo", F.col("owner").alias("hot_owner"), F.lit(True).alias("hot"))
+        met = refs.join(F.broadcast(hot), ["hi", "lo"], "left")
+        cold = met.where("hot IS NULL").select("hi", "lo", "doc_id").join(owners.where(F.col("n") <= HOT_REFS), ["hi", "lo"]).select("hi", "lo", "doc_id", "owner")
+        lost = met.where("hot").select("hi", "lo", "doc_id", F.col("hot_owner").alias("owner")).unionByName(cold)
+        lost = lost.where(F.col("owner").isNull() | (F.col("doc_id") != F.col("owner")))
+        return lost.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("hi", "lo"))).alias("_lost"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with columns n_lines, n_dropped and kept_text added."""
         out = "n_lines long, n_dropped long, kept_text string"
         docs = without(docs, out)
         other = [c for c in docs.columns if c not in ("doc_id", "text")]
-        joined = docs.join(self.drops(), "doc_id", "left")
-        joined = joined.select("doc_id", "text", *(F.col(f"`{c}`") for c in other), F.col("lost.hi").alias("_hi"), F.col("lost.lo").alias("_lo"))
-        min_chars = self.min_chars
+        docs = docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in other))
+        owners = materialize(self.owners(), "line-owners")
+        repeats = Repeats.load(materialize(_filters(owners, self.shards), "line-repeats"), self.shards)
+        drops, min_chars = self.drops(owners, repeats), self.min_chars
+        done = None
+        if repeats:
+            marked = repeats.marked(docs, min_chars)
+            hit = F.col("_hit") & F.col("doc_id").isNotNull()
+            done = marked.where(~hit).drop("_hit").withColumns({"n_dropped": F.lit(0).cast("long"), "kept_text": F.coalesce("text", F.lit(""))})
+            docs = marked.where(hit).drop("_hit", "n_lines")
+        joined = docs.join(drops, "doc_id", "left").select("doc_id", "text", *(F.col(f"`{c}`") for c in other), "_lost")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches):
                 lines, dropped, kept = [], [], []
-                for text, hi, lo in zip(as_bytes(batch.column(1)), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                for text, keys in zip(as_bytes(batch.column(1)), batch.column(batch.num_columns - 1)):
                     parts = _split(text)
                     lines.append(len(parts))
-                    if not hi.is_valid:
+                    if not keys.is_valid:
                         dropped.append(0)
                         kept.append(text)
                         continue
-                    pairs = np.array([hi.values.to_numpy(), lo.values.to_numpy()], np.int64).T.copy()
-                    lost = {row.tobytes() for row in pairs}
+                    raw = np.array(keys.values.to_numpy(), np.int64).tobytes()
+                    lost = {raw[i : i + 16] for i in range(0, len(raw), 16)}
                     stay = [p for p, k in zip(parts, _keys(parts, min_chars)) if k not in lost]
                     dropped.append(len(parts) - len(stay))
                     kept.append(b"\n".join(stay))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*batch.schema.names[:-2], "n_lines", "n_dropped", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*batch.schema.names[:-1], "n_lines", "n_dropped", "kept_text"])
+
+        changed = joined.mapInArrow(run, plus(docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in other)), out))
+        return changed if done is None else done.unionByName(changed)
+
+
+@dataclass
+class Repeats:
+    """Filters, by shard, of the keys that several documents hold; at most MOST_FILTERS bytes, so they are broadcast."""
+
+    tables: dict[int, bytes]
+    shards: int
 
-        return joined.mapInArrow(run, plus(docs.select("doc_id", "text", *other), out))
+    @classmethod
+    def load(cls, filters: DataFrame, shards: int) -> Repeats | None:
+        """None where the filters are too large to be sent."""
+        if filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] > MOST_FILTERS:
+            return None
+        return cls({r.shard: bytes(r.bits) for r in filters.collect()}, shards)
+
+    def opened(self) -> dict[int, CuckooFilter]:
+        return {k: CuckooFilter(0, v) for k, v in self.tables.items()}
+
+    def contains(self, filters: dict[int, CuckooFilter], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(hi), bool)
+        shard = hi % self.shards
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for k, f in filters.items():
+            at = order[ends[k] : ends[k + 1]]
+            if len(at):
+                hit[at] = f.contains(lo[at])
+        return hit
+
+    def filtered(self, refs: DataFrame) -> DataFrame:
+        """The references (hi, lo, ...) whose key may be in a filter."""
+        shared = refs.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = shared.value.opened()
+            for batch in batches:
+                hit = shared.value.contains(filters, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                yield batch.filter(pa.array(hit))
+
+        return refs.mapInArrow(run, refs.schema)
+
+    def marked(self, docs: DataFrame, min_chars: int) -> DataFrame:
+        """``docs`` (doc_id, text, ...) plus n_lines and _hit: whether a line's key may be in a filter."""
+        shared = docs.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = shared.value.opened()
+            for batch in blocks(batches):
+                keys, owner, lines = [], [], []
+                for i, text in enumerate(as_bytes(batch.column(1))):
+                    parts = _split(text)
+                    own = [k for k in _keys(parts, min_chars) if k is not None]
+                    lines.append(len(parts))
+                    keys += own
+                    owner += [i] * len(own)
+                words = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                hit = shared.value.contains(filters, words[:, 0], words[:, 1])
+                any_hit = np.zeros(batch.num_rows, bool)
+                any_hit[np.array(owner, np.int64)[hit]] = True
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64()), pa.array(any_hit)], [*batch.schema.names, "n_lines", "_hit"])
+
+        return docs.mapInArrow(run, plus(docs, "n_lines long, _hit boolean"))
 
 
 def _shard(shards: int):
