@@ -34,6 +34,45 @@ def test_tree_fits_its_table():
     assert (H.tree().wanted(x) == (y > 0)).mean() > 0.98
 
 
+def test_tree_uses_words_links_and_neighbours():
+    used = {H.FEATURES[f] for f in H.tree().feature if f >= 0}
+    assert {"words", "links", "words before", "links after"} <= used
+
+
+LEAD = "The harbour was built in three stages, and each of them took longer than the town had hoped for."
+BODY = "Masons came from the valley in spring; by autumn most had gone home again, and the wall stood half finished through two winters of storms."
+#: Pages of shapes that the labelled table doesn't have, with their main text.
+HELD_OUT = [
+    (f"<html><head><title>t</title></head><body><div class='site-header'><a href=/>Home</a> <a href=/n>News</a></div><div class='post-header'><h1>The wall</h1></div><div class='post-body'><p>{LEAD}</p><p>{BODY}</p><p>It held.</p></div><div class='post-comments'><p>{BODY}</p></div><div id=footer>All rights reserved</div></body></html>", f"The wall\n{LEAD}\n{BODY}\nIt held."),
+    (f"<body><ul class=mainMenu><li><a href=a>One</a><li><a href=b>Two</a></ul><h1>The wall</h1><p>{LEAD}</p><p>{BODY}</p><p>{BODY}</p><table class=relatedLinks><tr><td><a href=c>Another wall</a></td></tr></table></body>", f"The wall\n{LEAD}\n{BODY}\n{BODY}"),
+    (f"<body><main role=main><p>{LEAD}</p><div aria-label='Main navigation'><p>{LEAD}</p></div><div class='AdSlot'>{BODY}</div><dl><dt>Wall</dt><dd>{LEAD}</dd></dl></main></body>", f"{LEAD}\nWall\n{LEAD}"),
+    (f"<body><article class=story><header><h1>Wall</h1><p>By a mason</p></header><p>{BODY}</p><figure><img src=x><figcaption>The wall in 1911</figcaption></figure><pre>a  b\n c</pre></article><div class=consent-banner>{LEAD}</div></body>", f"Wall\nBy a mason\n{BODY}\nThe wall in 1911\na b c"),
+    (f"<body><a href=1>one</a><br><a href=2>two</a><hr><h2>Wall</h2>{LEAD}<p>{BODY}<hr><a href=3>three</a></body>", f"Wall\n{LEAD}\n{BODY}"),
+]
+
+
+@pytest.mark.parametrize("page, text", HELD_OUT)
+def test_held_out_pages(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article><p>{LEAD}</p><script>if(a<b) s.replace(/"/g,1);</script><p>{BODY}</p><p>a "quoted" end</p></article>', f'{LEAD}\n{BODY}\na "quoted" end'),
+        (f'<article><p>{LEAD}</p><div class="section" id="discussion"><p>{BODY}</p></div><section id="legal-history"><p>{LEAD}</p></section><div class="header-image-caption">The wall</div></article>', f"{LEAD}\n{BODY}\n{LEAD}\nThe wall"),
+        (f"<article><button>Go <p>{LEAD}</p><button>x</button><p>{BODY}</p></article>", f"Go\n{LEAD}\n{BODY}"),
+        (f"<article><p>{LEAD}</p><script>var x = 1 <p>{BODY}</p></article>", f"{LEAD}\n{BODY}"),
+        (f"<article><p class=x\">{LEAD} <a href='y'>y</a></p><svg><text>no</text></svg></article>", f"{LEAD} y"),
+        ("<div>" * 50_000 + f"<p>{BODY}</p>" + "</div>" * 60_000 + "</section>" * 50_000, BODY),
+        (f"<article><p>{LEAD}</p>" + "<svg>" * 20_000 + f"<p>{BODY}</p></article>", f"{LEAD}\n{BODY}"),
+    ],
+    ids=["script", "names", "button", "open script", "quote", "deep", "open svg"],
+)
+def test_markup_that_misleads(page, text):
+    assert H.main_text(page) == text
+
+
 def test_neighbours_are_features():
     b = H.page_blocks("<p>one two</p><p><a href=x>three</a> four</p><p>five</p>")
     f = H.features(b)

@@ -3,14 +3,16 @@
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link density,
 those of its neighbours, and a few facts on where it stands: kind of element, whether inside an article,
 and whether an open element is by its name, class, id or role a menu, header, footer, sidebar, advert,
-notice, form or comment. A decision tree (CART, Gini) classifies the blocks. It is trained, whenever it is
+notice, form or comment (a name counts only if all its words say so or say nothing). Reader comments and notices
+read like articles, so the facts are needed beside the counts. A decision tree (CART, Gini) classifies the blocks. It is trained, whenever it is
 first needed in a process, on the small labelled table TABLE below: pages in which each block says whether
 it is wanted.
 
 Of the wanted blocks, character references are decoded, white space inside a block becomes one space, and
 blocks are joined by one line feed, in page order; nothing is dropped or cut off beyond the verdict. The
 content of scripts, styles, titles, comments and form controls never makes a block. Unclosed tags, stray
-``<`` and pages that break off are read as far as they go.
+``<`` and pages that break off are read as far as they go; a script or the like that is never closed ends at the next
+block, and a control that is never closed is passed over.
 
 Null or empty html: empty text. Pages without a wanted block: empty text. Null ids and repeated rows are
 handled like any other row; an empty table gives an empty result. Extra columns are ignored.
@@ -22,6 +24,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm._common import blocks, documents
 
-_TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']+|"[^"]*"|'[^']*'|["'])*)(?:>|(?=<)|\Z))""", re.S)
+#: A quote opens a value only right behind an equals sign.
+_TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|=|[^<>=]+)*)(?:>|(?=<)|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|type|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-#: Elements whose content isn't text of the page.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button", "object", "canvas", "math", "audio", "video", "datalist", "xmp"}
+#: Elements whose content isn't text of the page: what is inside isn't read as markup in the first,
+#: and is left out as a whole in the others.
+_RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+_LEFT_OUT = {"noscript", "template", "svg", "select", "button", "object", "canvas", "math", "audio", "video", "datalist"}
+_NEVER_NESTED = {"button", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th section article header footer nav aside main blockquote pre form "
@@ -42,14 +49,21 @@ _BLOCK = set(
 _HOLDERS = set("div section article header footer nav aside main form fieldset ul ol dl table tr td th li blockquote figure details dialog menu body center p h1 h2 h3 h4 h5 h6 span".split())
 _CLOSES = {"p": {"p"}, "li": {"p", "li"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "tr": {"p", "td", "th", "tr"}}
 
-_word = lambda names: re.compile(rf"(?:^|[^a-z])(?:{names})(?:s|[^a-z]|$)")
-_MENU = _word("nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pager|pagination|toolbar|topbar|skip|toc|tablist|tabs")
-_EDGE = _word("header|masthead|footer|foot|copyright|banner|contentinfo|site-?info|legal|colophon|credits")
-_SIDE = _word("sidebar|side|aside|complementary|widget|related|recommended|recommendation|trending|popular|share|sharing|social|tag|tagcloud|more-stories|author-?box")
-_ADVERT = _word("ad|advert|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|promoted|dfp|taboola|outbrain")
-_NOTICE = _word("cookie|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|disclaimer|dialog|toast|search|login|form")
-_COMMENT = _word("comment|comments|commentlist|reply|replies|respond|disqus|discussion|reviews")
-_GOOD = _word("article|post|entry|story|content|main|articlebody|post-body|entry-content|prose")
+#: Words that name what isn't the article. A name counts if all its parts are such words or say nothing.
+_MENU = "nav navbar navigation menu breadcrumb pager pagination toolbar topbar skip toc tablist tab"
+_EDGE = "header masthead footer copyright banner contentinfo colophon"
+_SIDE = "sidebar side aside complementary widget related recommended recommendation trending share sharing social tagcloud"
+_ADVERT = "ad advert advertisement advertising adsense sponsor sponsored promo promotion promoted dfp taboola outbrain"
+_NOTICE = "cookie consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall disclaimer dialog toast search login form"
+_AWAY = set(" ".join([_MENU, _EDGE, _SIDE, _ADVERT, _NOTICE]).split())
+_COMMENT = set("comment commentlist reply replies respond disqus".split())
+_GOOD = set("article post entry story content main articlebody prose".split())
+_EMPTY = set(
+    "container wrapper wrap box block list section area bar link slot item inner body panel group holder region site page global top bottom left right primary secondary "
+    "col column row new unit zone module component view text title id level desktop mobile js ui thread form author user reader".split()
+)
+_WHOLE = {"more-stories", "author-box", "author-bio", "site-info"}
+_CAMEL, _PART = re.compile(r"([a-z])([A-Z])"), re.compile(r"[a-z]+")
 
 FEATURES = ["words", "links", "words before", "links before", "words after", "links after", "heading", "item", "in article", "holder", "hint", "comment", "outside"]
 
@@ -67,39 +81,73 @@ class Block:
     text: str
 
 
+def _parts(name: str) -> set[str]:
+    """The words of a class or id, without plural endings."""
+    return {p if p in _EMPTY or not p.endswith("s") else p[:-1] if p[:-1] in _AWAY or p[:-1] in _COMMENT or p[:-1] in _GOOD or p[:-1] in _EMPTY else p for p in _PART.findall(name)}
+
+
 def _marks(name: str, rest: str) -> tuple[bool, bool, bool, bool]:
-    """(article, unwanted element, unwanted by hint, comments) of an opening tag."""
+    """(article, unwanted element, unwanted by name, comments) of an opening tag."""
     article = name in ("article", "main")
     holder = name in ("nav", "aside", "footer", "form", "dialog", "menu", "header", "fieldset")
     hint = comment = False
     if rest and "=" in rest:
         for key, value in _ATTRIBUTE.findall(rest):
-            value = value.strip("\"'").lower()
+            value = value.strip("\"'")
             key = key.lower()
             if key == "style":
-                hint |= "display:none" in value.replace(" ", "")
+                hint |= "display:none" in value.lower().replace(" ", "")
             elif key != "type":
-                value = value.replace("_", "-")
-                comment |= bool(_COMMENT.search(value))
-                article |= bool(_GOOD.search(value)) and name in ("div", "section", "td")
-                hint |= any(p.search(value) for p in (_MENU, _EDGE, _SIDE, _ADVERT, _NOTICE))
+                for one in [value] if key == "aria-label" else value.split():
+                    parts = _parts(_CAMEL.sub(r"\1-\2", one).lower())
+                    # the header of a post is its own; a main header is the site's
+                    headed = parts & _AWAY == {"header"} and bool(parts & _GOOD - {"main", "content"})
+                    article |= bool(parts & _GOOD) and name in ("div", "section", "td", "header") and not parts & _COMMENT and (headed or not parts & _AWAY)
+                    if parts <= _AWAY | _COMMENT | _GOOD | _EMPTY:
+                        comment |= bool(parts & _COMMENT)
+                        hint |= bool(parts & _AWAY) and not headed
+                    hint |= one.lower().replace("_", "-") in _WHOLE
     if name in ("body", "html", "article", "main"):
         hint = comment = False
-    elif article and not comment:
-        # "post-header", "article-ad": the part named last tells
-        hint = hint and name not in ("article", "main")
     return article, holder, hint, comment
 
 
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I)
+
+
+_BLOCK_AHEAD = re.compile(r"</?(?:p|div|h[1-6]|article|section|main|header|footer|nav|aside|ul|ol|table|form|body|html|head)(?![A-Za-z0-9:-])", re.I)
+
+
+def _beyond(page: str, name: str, at: int, unclosed: set[str]) -> int:
+    """Where to read on after the opening tag of an element whose content is left out.
+
+    One that is never closed ends where the next block begins if it is raw, and at once if it isn't.
+    """
+    if name not in unclosed:
+        for m in _end_of(name).finditer(page, at):
+            if m.group(1):
+                return m.end()
+            if name in _NEVER_NESTED:
+                return at
+        unclosed.add(name)
+    if name not in _RAW:
+        return at
+    ahead = _BLOCK_AHEAD.search(page, at)
+    return ahead.start() if ahead else len(page)
+
+
 def page_blocks(page: str) -> list[Block]:
     """Flat text blocks of a page in order."""
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
     anchors = 0
-    raw = ""
+    unclosed: set[str] = set()
     # open elements: (name, marks as they hold inside)
-    stack: list[tuple[str, tuple[bool, bool, bool, bool], bool]] = [("", (False, False, False, False), False)]
+    stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = [("", (False, False, False, False))]
+    opened: dict[str, int] = {}
     heading = item = False
     at = 0
 
@@ -114,8 +162,8 @@ def page_blocks(page: str) -> list[Block]:
                 found.append(Block(n, min(1.0, k / n), heading, item, article, holder, hint, comment, text))
             parts, linked = [], []
 
-    for m in _TAG.finditer(page):
-        if not raw and m.start() > at:
+    while m := _TAG.search(page, at):
+        if m.start() > at:
             parts.append(page[at : m.start()])
             if anchors:
                 linked.append(page[at : m.start()])
@@ -124,12 +172,9 @@ def page_blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name, end = name.lower(), bool(m.group(1))
-        if raw:
-            if end and name == raw:
-                raw = ""
-            continue
-        if not end and name in _RAW and not m.group(3).endswith("/"):
-            raw = name
+        if name in _RAW or name in _LEFT_OUT:
+            if not end and not (m.group(3).endswith("/") and name in ("svg", "math")):
+                at = _beyond(page, name, at, unclosed)
             parts.append(" ")
             continue
         if name == "a":
@@ -144,21 +189,22 @@ def page_blocks(page: str) -> list[Block]:
                 anchors = 0
         if name in _HOLDERS and name not in _VOID:
             if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while opened.get(name):
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
                         break
             else:
                 while len(stack) > 1 and stack[-1][0] in _CLOSES.get(name, {"p"} if name in _BLOCK else ()):
-                    stack.pop()
-                if len(stack) < 4000:
-                    own = _marks(name, m.group(3))
-                    above = stack[-1][1]
-                    article = above[0] or own[0]
-                    # a header inside an article may hold its title and first lines
-                    holder = above[1] or (own[1] and not (name == "header" and above[0]))
-                    stack.append((name, (article, holder, above[2] or own[2], above[3] or own[3]), False))
-    if not raw and at < len(page):
+                    opened[stack.pop()[0]] -= 1
+                own = _marks(name, m.group(3))
+                above = stack[-1][1]
+                article = above[0] or own[0]
+                # a header inside an article may hold its title and first lines
+                holder = above[1] or (own[1] and not (name == "header" and above[0]))
+                stack.append((name, (article, holder, above[2] or own[2], above[3] or own[3])))
+                opened[name] = opened.get(name, 0) + 1
+    if at < len(page):
         parts.append(page[at:])
         if anchors:
             linked.append(page[at:])
@@ -171,8 +217,13 @@ def features(found: list[Block]) -> np.ndarray:
     any_article = any(b.article for b in found)
     own = np.array([[b.words, b.links] for b in found], float).reshape(-1, 2)
     around = np.concatenate((np.zeros((1, 2)), own, np.zeros((1, 2))))
+    # what lies across the border of the article is no neighbour
+    side = np.array([b.article for b in found], bool)
+    across = side[1:] != side[:-1]
+    before, after = around[:-2].copy(), around[2:].copy()
+    before[1:][across], after[:-1][across] = 0, 0
     place = np.array([[b.heading, b.item, b.article, b.holder, b.hint, b.comment, any_article and not b.article] for b in found], float).reshape(-1, 7)
-    return np.concatenate((own, around[:-2], around[2:], place), axis=1)
+    return np.concatenate((own, before, after, place), axis=1)
 
 
 @dataclass
@@ -249,6 +300,19 @@ TABLE = [
     "<body><article><p>+{70}</p><div role=alert>-{12}</div><p>+{20}</p><div class='promo'><p>-{60}</p></div><p>+{3}</p><ul class='share-links'><li>-{1}</li><li>-{1}</li></ul><ul class=comment-list><li>-{25}</li><li>-{4}</li></ul></article></body>",
     "<body><div class=promo>-{50}</div><p>+{60}</p><p>+{8}</p><div class=sidebar>-{40}</div><p>+{22}</p><div class=comment>-{45}</div><div class=comment>-{3}</div></body>",
     "<body><div role=navigation><p>-{5}</p></div><div class=entry-content><p>+{25}</p><p>+{3}</p><div class=subscribe><p>-{22}</p></div><p>+{48}</p></div><div class=disclaimer><p>-{35}</p></div><div class=reviews><p>-{55}</p></div></body>",
+    # pages that name nothing: what stands between links or behind them tells
+    "<body><div><a href=x>-{1}</a></div><div>-{2}</div><div><a href=x>-{3}</a></div><div><a href=x>-{4}</a></div><h1>+{7}</h1><div>+{40}</div><div>+{3}</div><div>+{60}</div><div>-{2}</div><div><a href=x>-{6}</a></div><div>-{3}</div><div><a href=x>-{7}</a></div></body>",
+    "<body><p><a href=x>-{2}</a></p><p>-{4}</p><p><a href=x>-{2}</a></p><h2>+{5}</h2><p>+{30}</p><h3>+{4}</h3><p>+{52}</p><p>+{6}</p><p>+{44}</p><h3>-{3}</h3><ul><li><a href=x>-{8}</a></li><li>-{5}</li><li><a href=x>-{9}</a></li></ul></body>",
+    "<body><table><tr><td><a href=x>-{1}</a></td><td>-{2}</td><td><a href=x>-{1}</a></td></tr></table><div>+{90}</div><div>+{18} <a href=x>{4}</a></div><div>+{35}</div><div><a href=x>-{3}</a> {1}</div><div>-{6}</div><div><a href=x>-{2}</a></div></body>",
+    "<body><div>-{3} <a href=x>{5}</a></div><h1>+{6}</h1><div>+{33}</div><ul><li>+{7}</li><li>+{4}</li><li>+{9}</li></ul><div>+{41}</div><h4>-{2}</h4><div><a href=x>-{5}</a></div><h4>-{2}</h4><div><a href=x>-{6}</a></div></body>",
+    "<body><ul><li><a href=x>-{2}</a></li><li><a href=x>-{2}</a></li></ul><p>+{120}</p><h2>+{2}</h2><p>+{70}</p><h2>+{3}</h2><p>+{26}</p><p>-{4}</p><ul><li><a href=x>-{4}</a></li><li><a href=x>-{5}</a></li></ul></body>",
+    # an article in which link lists stand, and one that quotes links
+    "<body><article><p>+{48}</p><p>+{5}</p><h3>-{2}</h3><ul><li><a href=x>-{6}</a></li><li><a href=x>-{7}</a></li><li><a href=x>-{5}</a></li></ul><p>+{38}</p><p>+{2} <a href=x>{3}</a></p><p>+{22}</p></article></body>",
+    "<body><main><h2>+{4}</h2><p>+{8} <a href=x>{3}</a></p><p>+{64}</p><p><a href=x>-{3}</a></p><p><a href=x>-{4}</a></p><p>-{1}</p><p><a href=x>-{3}</a></p></main></body>",
+    "<body><article><h1>+{6}</h1><p>+{30}</p><p>+{8}</p><p><a href=x>-{3}</a></p><p>+{40}</p><h2>+{3}</h2><p>+{5}</p><p>+{12}</p></article><ul><li><a href=x>-{3}</a></li><li><a href=x>-{4}</a></li></ul></body>",
+    "<body><main><p>+{11}</p><p>+{6}</p><div><a href=x>-{2}</a> <a href=x>{2}</a></div><p>+{14}</p><p>+{9}</p></main><div>-{5}</div><div><a href=x>-{3}</a></div></body>",
+    # names that mislead
+    "<body><div class=header><a href=x>-{3}</a></div><div class=section id=discussion><p>+{55}</p><p>+{40}</p></div><div class=header-image-caption>+{12}</div><p>+{48}</p><div class=footer>-{7}</div></body>",
     "<body><header>-{3}</header><p>+{50}</p><p>+{5}</p><form><p>-{30}</p></form><p>+{45}</p><aside><p>-{50}</p></aside><footer>-{30}</footer></body>",
 ]
 
