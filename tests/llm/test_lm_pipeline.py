@@ -78,6 +78,32 @@ def test_orders_of_the_predictors():
     assert all(len(set(seen[k].tolist())) == len(words) for k in (4, 5))
 
 
+def test_exact_counts_take_the_share_they_earn():
+    mixer = L.Mixer(*np.random.default_rng(0).integers(0, 9, (2, L.SLOTS)).astype(np.float32))
+    words, kinds, n = [b"aa", b"bb", b"cc"], np.array([0, 0, 1]), np.array([30, 70, 5])
+    mixer.tokens = np.bincount(kinds, n, L.CLUSTERS + 1)
+    mixer.learn(words, kinds, n)
+    assert mixer.trust.sum() == pytest.approx(2 * (L.CLUSTERS + 1) + 105)
+    share = mixer.spelled_share(kinds)
+    # the exact parts of a class's words and what is left for spelling make one
+    assert mixer.counted(kinds, n)[:2].sum() + share[0] == pytest.approx(1) and mixer.counted(kinds, n)[2] + share[2] == pytest.approx(1)
+    mixer.prepare()
+    spelled = mixer.log10(words, kinds)
+    assert np.allclose(10 ** mixer.word_log10(words, kinds, n), mixer.counted(kinds, n) + share * 10**spelled)
+    # unseen words, unseen classes and words too long for a double
+    assert mixer.word_log10([b"zz"], np.array([0]), np.array([0]))[0] == pytest.approx(mixer.log10([b"zz"], np.array([0]))[0] + np.log10(share[0]))
+    assert mixer.word_log10([b"zz"], np.array([5]), np.array([0]))[0] == pytest.approx(mixer.log10([b"zz"], np.array([5]))[0])
+    assert np.isfinite(mixer.word_log10([b"x" * 5000], np.array([0]), np.array([0]))[0]) and mixer.word_log10([b"x" * 5000], np.array([0]), np.array([0]))[0] < -300
+
+
+def test_held_out_texts_of_several_classes_cost_less_than_the_base(spark):
+    """Two vocabularies, told apart by the class: known words cost clearly less than by their share of all words."""
+    docs = [(i, prose(i, 120, 60) if i % 2 else prose(i, 120, 60).upper().replace("W", "Q")) for i in range(240)]
+    held = [r for r in L.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.held_out]
+    n = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.15
+
+
 def test_learning_lowers_the_cost():
     words = sorted({w.encode() for w in prose(1, 3000, 300).split()})
     n = np.arange(1, len(words) + 1)
