@@ -172,7 +172,7 @@ def test_chain_is_fitted_out_of_fold(spark):
     rows = T.labelled(docs, known)
     x = np.zeros((len(rows), T.BUCKETS), np.float32)
     for i, r in enumerate(rows):
-        x[i, r.terms] = 50.0 * np.array(r.times) / (r.words + 20)
+        x[i, np.frombuffer(r.terms, np.int32)] = 50.0 * np.frombuffer(r.times, np.int32) / (r.words + 20)
     toxic = np.array([r.toxic > 0 for r in rows])
     names = {"low_quality": np.zeros(len(rows), bool), "toxic_de": toxic & np.array([r.lang == "de" for r in rows]), "toxic_en": toxic & np.array([r.lang == "en" for r in rows]), "toxic": toxic}
     folds = np.array([(r.doc_id * 2654435761 >> 7) % T.FOLDS for r in rows])
