@@ -12,7 +12,6 @@ QUERIES = {
     "op4_bpe_automaton": bpe_automaton.op4,
     "op5_line_dedup": lambda spark, sf_dir: line_dedup.op5(spark, documents(spark, sf_dir)),
     "op6_best_fit_packing": packing.op6,
-    "op10_near_dedup": near_dedup.ORACLE,
     "op7_tool_call_linking": chat_format.op7,
     "linked_tool_calls": chat_format.linked,
     "op8_simhash": lambda spark, sf_dir: simhash.op8(spark, documents(spark, sf_dir)),
