@@ -22,7 +22,10 @@ def _columns(docs: DataFrame) -> list:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     model = quality_rules.train(docs, documents(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs.select("text", F.struct(*_columns(docs)).alias("_own")), model).where("kept").select("_own.*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    own = F.struct(*rest) if rest else F.lit(None)  # without the text, which goes to Python and back once
+    done = quality_rules.judge(docs.select("text", own.alias("_own")), model).where("kept")
+    return done.select(*(F.col("text") if c == "text" else F.col(f"_own.`{c}`").alias(c) for c in docs.columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,60 @@ def test_threshold_is_calibrated_on_rows_no_tree_has_seen(spark):
     assert odd.sum() >= 97
 
 
+def test_every_labelled_row_is_fitted_on(spark):
+    """The bad rows lie behind the first 4,000 in hash order."""
+    order = [r.id for r in spark.range(4_400).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").collect()]
+    late = set(order[4_100:])
+    docs = spark.createDataFrame([(i, junk(i) if i in late else prose(i, 60)) for i in order], "doc_id long, text string")
+    model = Q.train(docs, labels(spark, [(i, int(i not in late), 0) for i in order]))
+    _, odd = model.rejects(np.array([Q.statistics(junk(20_000 + i), WordHashes()) for i in range(100)]))
+    assert odd.sum() >= 97
+    _, odd = model.rejects(np.array([Q.statistics(prose(10_000 + i, 60), WordHashes()) for i in range(100)]))
+    assert odd.sum() <= 4
+
+
+@pytest.mark.parametrize("n", [2, 9, 150, 900])
+def test_fit_against_the_definition(spark, n):
+    """Trees on the rows drawn from all good ones, threshold over all rows by the trees that have not drawn them."""
+    rows, docs, known = quality_corpus(spark, 2 * n)
+    model = Q.train(docs.repartition(5), known)
+    keys = {r.doc_id: r.key for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS key").collect()}
+    used = [(keys[i], i % 7 == 0, Q.statistics(t, WordHashes())) for i, t in rows if i % 2 == 0]
+    used = [r for r in used if not Q.base_failed(np.array([r[2]]))[0]]
+    key, bad, x = np.array([r[0] for r in used]), np.array([r[1] for r in used]), Q.rates(np.array([r[2] for r in used]))
+    good = np.flatnonzero(~bad)
+    size = min(256, len(good), max(2, (len(good) + 1) // 2))
+    chosen = [good[np.argsort(Q.draws(key[good], k))][:size] for k in range(Q.TREES)]
+    forest = Q.Forest.fit([x[c] for c in chosen], x.min(0), x.max(0))
+    score = np.zeros(len(x))
+    for i in range(len(x)):
+        trees = [k for k in range(Q.TREES) if i not in chosen[k]] or range(Q.TREES)
+        score[i] = Q.Forest([forest.trees[k] for k in trees], forest.norm).score(x[i : i + 1])[0]
+    assert np.array_equal(model.forest.score(x), forest.score(x))
+    assert abs(model.threshold - Q.calibrate(score.round(12), bad)) < 1e-9
+
+
+@pytest.mark.parametrize("levels", [1, 40, 100_000])
+def test_threshold_of_a_table(spark, levels):
+    rng = np.random.default_rng(levels)
+    bad = rng.random(3_000) < 0.1
+    for shift in (0.4, 0.0, -2.0):
+        score = np.floor((rng.random(3_000) * 0.5 + shift * bad) * levels) / levels
+        table = spark.createDataFrame(list(zip(score.tolist(), bad.tolist())), "score double, bad boolean").repartition(7)
+        for share in (0.01, 0.3):
+            assert Q.threshold(table, int(bad.sum()), int((~bad).sum()), share) == Q.calibrate(score, bad, share)
+
+
+def test_counts_taken_once_give_the_same_verdict(spark):
+    _, docs, known = quality_corpus(spark, 120)
+    both = docs.unionByName(edge_docs(spark).select("doc_id", "text"))
+    counted = Q.measured(both)
+    model = Q.fit(counted, known)
+    names = ["doc_id", *Q.COUNTS, "anomaly", "base_failed", "kept"]
+    listed = lambda df: sorted(map(str, df.select(names).collect()))
+    assert listed(Q.judge_counted(counted, model)) == listed(Q.judge(both, model))
+
+
 def test_repeated_ids_with_other_texts_fit_the_same_in_any_order(spark):
     rows, docs, known = quality_corpus(spark, 120)
     other = docs.unionByName(spark.createDataFrame([(i, junk(i + 7)) for i in range(0, 60, 2)], "doc_id long, text string"))
