@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -243,3 +244,19 @@ def test_chain_is_fitted_out_of_fold(spark):
     w = T.fit_logistic(np.hstack([x[:, best], out[:, :3]]), toxic.astype(float))
     last = T.train(docs, known).links[-1]
     assert np.allclose(last.earlier, w[-4:-1], atol=1e-3) and abs(last.bias - w[-1]) < 1e-3
+
+
+def test_the_sample_stays_out_of_the_driver(spark):
+    """The chain is the one fitted here from the same rows, but the driver holds neither rows nor counts of terms."""
+    docs, known = toxic_corpus(spark, 200)
+    want = T._fitted(T.labelled(docs, known))
+    tracemalloc.start()
+    try:
+        chain = T.train(docs, known)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 << 20
+    assert chain.threshold == want.threshold and chain.names == want.names
+    for a, b in zip(chain.links, want.links):
+        assert a.terms and a.terms.keys() == b.terms.keys() and np.allclose(list(a.terms.values()), [b.terms[t] for t in a.terms]) and np.allclose(a.earlier, b.earlier)

@@ -10,7 +10,7 @@ the inflected and compound forms; a term is named by one of 2^21 hash buckets. A
 the ``terms`` terms that tell it apart best (by log-likelihood ratio over labelled rows) get weights.
 
 The models are fitted on a bounded sample: the ``most`` labelled rows first in hash order of doc_id
-(``MOST_LABELLED``). All documents are scored, each as a whole; scoring needs one pass and no shuffle: a
+(``MOST_LABELLED``), by one task, so that only the fitted models reach the driver. All documents are scored, each as a whole; scoring needs one pass and no shuffle: a
 word's weights in all models are summed once and remembered.
 
 The label table gives two labels. The chain's categories are: low_quality; one category toxic_<lang> for
@@ -25,6 +25,7 @@ with the name of a result column is replaced.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,13 +33,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm._common import blocks, documents, plus, without
 
 MOST_LABELLED = 4000
 TERMS = 160
+LEAST_ROWS = 3
 BUCKETS = 1 << 21
 FOLDS = 5
 SHORTEST, LONGEST = 3, 7
@@ -138,9 +140,8 @@ def term_counts(text: str | None, known: Terms) -> tuple[np.ndarray, np.ndarray,
 
 def _best_terms(rows, cols, size: int, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
     """Terms with the greatest log-likelihood ratio between rows in and out of the category."""
-    at = use[rows]
-    inside = np.bincount(cols[at & (y[rows] > 0)], minlength=size).astype(float)
-    outside = np.bincount(cols[at & (y[rows] <= 0)], minlength=size).astype(float)
+    inside = np.bincount(cols[(use & (y > 0))[rows]], minlength=size).astype(float)
+    outside = np.bincount(cols[(use & (y <= 0))[rows]], minlength=size).astype(float)
     n1, n0 = max(1.0, (use & (y > 0)).sum()), max(1.0, (use & (y <= 0)).sum())
     both = (inside + outside) / (n1 + n0)
 
@@ -150,7 +151,7 @@ def _best_terms(rows, cols, size: int, y: np.ndarray, use: np.ndarray, most: int
             return np.where(k > 0, k * np.log(p / both), 0) + np.where(n > k, (n - k) * np.log((1 - p) / (1 - both)), 0)
 
     gain = np.nan_to_num(part(inside, n1) + part(outside, n0), posinf=0, neginf=0)
-    gain[inside + outside < 3] = 0
+    gain[inside + outside < LEAST_ROWS] = 0
     # a term in favour of the category is worth more than one against it
     gain[inside / n1 < outside / n0] *= 0.25
     best = np.argsort(-gain, kind="stable")[:most]
@@ -166,6 +167,25 @@ def _columns(rows, cols, values, chosen: np.ndarray, size: int, n: int) -> np.nd
     return x
 
 
+def _table(texts: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the terms that ``LEAST_ROWS`` texts hold, and each column's term; others are never among the best."""
+    held = np.zeros(BUCKETS, np.int32)
+    for terms, _, _ in texts:
+        held[terms] += 1  # a text's terms are distinct
+    common = np.flatnonzero(held >= LEAST_ROWS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[common] = np.arange(len(common), dtype=np.int32)
+    n = int(held[common].sum())
+    rows, cols, values, at = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.float32), 0
+    for i, (terms, times, words) in enumerate(texts):
+        own = place[terms]
+        found = own >= 0
+        part = slice(at, at := at + int(np.count_nonzero(found)))
+        rows[part], cols[part] = i, own[found]
+        values[part] = times[found].astype(np.float32) * (np.float32(SCALE) / (np.float32(words) + np.float32(SMOOTH)))
+    return rows, cols, values, common
+
+
 def fit_chain(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: dict[str, np.ndarray], folds: np.ndarray, terms: int = TERMS) -> Chain:
     """Fit one link for each label, in order; the last one is the verdict. ``texts``: their ``term_counts``."""
     n = len(texts)
@@ -173,11 +193,8 @@ def fit_chain(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: dict[str,
     verdict = list(labels.values())[-1]
     if not n or not verdict.any() or verdict.all():
         return Chain(links, 1.1)
-    rows = np.repeat(np.arange(n, dtype=np.int32), [len(t[0]) for t in texts])
-    cols, values = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts]).astype(np.float32)
-    total = np.array([t[2] for t in texts], np.float32)
-    values *= np.float32(SCALE) / (total[rows] + np.float32(SMOOTH))
-    size = BUCKETS
+    rows, cols, values, common = _table(texts)
+    size = len(common)
     out = np.zeros((n, len(links)))
     for k, (link, y) in enumerate(zip(links, labels.values())):
         y = y.astype(float)
@@ -193,7 +210,7 @@ def fit_chain(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: dict[str,
                 _, w, x = fit(use)
                 out[~use, k] = np.clip(x[~use] @ w[:-1] + w[-1], -12, 12)
         chosen, w, _ = fit(np.ones(n, bool))
-        link.terms = {int(c): float(v) for c, v in zip(chosen, w)}
+        link.terms = {int(c): float(v) for c, v in zip(common[chosen], w)}
         link.earlier, link.bias = w[len(chosen) : -1], float(w[-1])
     p = _sigmoid(out[:, -1])
     order = np.argsort(-p, kind="stable")
@@ -205,12 +222,16 @@ def fit_chain(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: dict[str,
     return Chain(links, float((p[order][best] + below) / 2))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list:
-    """The bounded training sample, at most ``most`` rows, in hash order of doc_id: labels, lang, terms, times (four bytes each), words.
+def _order() -> list:
+    return [F.xxhash64("doc_id"), F.col("doc_id")]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """The bounded training sample, at most ``most`` rows: labels, lang, terms, times (four bytes each), words.
 
     Terms are counted where the texts are. Of a doc_id with several texts the first in hash order counts.
     """
-    sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("toxic", "quality")).alias("l")).select("doc_id", F.col("l.toxic").cast("long").alias("toxic"), F.col("l.quality").cast("long").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("toxic", "quality")).alias("l")).select("doc_id", F.col("l.toxic").cast("long").alias("toxic"), F.col("l.quality").cast("long").alias("quality")).orderBy(*_order()).limit(most)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.where("doc_id IS NOT NULL").select("doc_id", "text", lang.alias("lang")).join(F.broadcast(sample), "doc_id")
 
@@ -223,11 +244,16 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> l
 
     rows = text.select("doc_id", "text", "lang", "toxic", "quality", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, lang string, toxic long, quality long, hash long, terms binary, times binary, words long")
     first = rows.groupBy("doc_id").agg(F.min_by(F.struct("lang", "toxic", "quality", "terms", "times", "words"), F.struct("hash", "lang")).alias("r"))
-    return first.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "r.*").collect()
+    return first.select("doc_id", "r.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
-    rows = labelled(docs, labels, most)
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list:
+    """The rows of ``sampled`` in hash order of doc_id."""
+    return sampled(docs, labels, most).orderBy(*_order()).collect()
+
+
+def _fitted(rows: list) -> Chain:
+    """The chain for rows as ``labelled`` gives them."""
     toxic = np.array([r.toxic for r in rows], np.int64) > 0
     langs = sorted({r.lang for r in rows if r.toxic > 0 and r.lang})
     chain = {"low_quality": np.array([r.quality is not None and r.quality <= 0 for r in rows], bool)}
@@ -238,6 +264,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chai
     return fit_chain([(np.frombuffer(r.terms, np.int32), np.frombuffer(r.times, np.int32), r.words) for r in rows], chain, folds)
 
 
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
+    """The chain, fitted by one task: the sample stays out of the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            # binary values stay where they are
+            columns = [[x.as_buffer() for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+            rows += map(Row(*batch.schema.names), *columns)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(rows))], pa.binary())], ["chain"])
+
+    made = sampled(docs, labels, most).repartition(1).sortWithinPartitions(*_order()).mapInArrow(run, "chain binary").collect()
+    # a sample known to be empty may run no task
+    return pickle.loads(made[0].chain) if made else _fitted([])
+
+
 RESULT = "p_toxic double, toxic boolean, categories string"
 
 
