@@ -1,10 +1,12 @@
 import math
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs, labels, prose
@@ -185,3 +187,51 @@ def test_pipeline_edges(spark, tmp_path, rows):
         now = corpus_pipeline.materialize(stage(spark, now, folder), "test")
         assert now.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, now, folder).count() == corpus_pipeline.run(spark, folder).count()
+
+
+def test_words_are_numbered_together():
+    """No Python call for each word: those took a large part of the time."""
+    calls = []
+    words = [f"w{k}" for k in range(20000)]
+    known = L.Vocabulary()
+    L.tokenized(pa.array(["a b"]), L.Vocabulary())  # what is imported late
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        numbers, starts = L.tokenized(pa.array([" ".join(words), "w7 new"]), known)
+        buckets = known.buckets
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 10_000
+    assert numbers.tolist() == [*range(20000), 20001, 7, 20000, 20001] and starts.tolist() == [0, 20001]
+    assert buckets.tolist() == [xxhash.xxh3_64_intdigest(w) % L.BUCKETS for w in known.words]
+    assert L.bucketed(pa.array([" ".join(words), "w7 new"]))[0].tolist() == buckets[numbers].tolist()
+
+
+def test_byte_list():
+    values = [b"", b"a", b"bc", "é日".encode(), b"", b"d" * 300]
+    array = pa.array(values, pa.binary())
+    for part in (array, array[2:], array[1:4], array[4:5], array[:0], pa.array([], pa.binary()), pa.chunked_array([array[3:], array[:0], array[:2]])):
+        assert L.byte_list(part) == part.to_pylist()
+
+
+def test_tables_of_32_bits_pass_nothing(monkeypatch):
+    """Given out before they are full, wide for a block that is too much: the sums stay those of the definition."""
+    words = sorted({w.encode() for w in prose(1, 400, 60).split()})
+    n = np.arange(1, len(words) + 1) ** 3
+    n[5] = 2**33
+    batches = [pa.RecordBatch.from_arrays([pa.array(words[i : i + 9], pa.binary()), pa.array(np.zeros(len(words[i : i + 9]), np.int32)), pa.array(n[i : i + 9])], ["word", "class", "n"]) for i in range(0, len(words), 9)]
+    want = np.zeros(2 * L.SLOTS, np.int64)
+    data, starts = L.spelled(words)
+    context, byte, where = L.contexts(data, starts, np.zeros(len(words), int))
+    times = np.repeat(np.repeat(n, np.diff(np.append(starts, len(data)))), 8)
+    for k in range(L.PREDICTORS):
+        at = 2 * (L.slot(k, context[:, where], L.partial_bytes(data)).astype(np.int64) + L.FIRST_SLOT[k]) + L.bits_of(data)
+        np.add.at(want, at.reshape(-1), times)
+    for rows in (1, 130_000):
+        gathered = L.gathered
+        monkeypatch.setattr(L, "gathered", lambda b, rows=rows, f=gathered: f(b, rows))
+        found = np.zeros((len(want) // (2 * L.SHARD), 2 * L.SHARD), np.int64)
+        for k, cells in L.tallies(iter(batches)):
+            found[k] += cells
+        monkeypatch.undo()
+        assert (found.reshape(-1) == want).all()
