@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from tokenloom.functions.text import ALPHABET
-from tokenloom.operators import bpe, counting, prefixes
+from tokenloom.operators import bpe, counting, prefixes, vocabulary
 
 
 def some_words(seed, n=200):
@@ -109,3 +109,9 @@ def test_summary_makes_no_row_for_each_substring(spark, monkeypatch):
 
     monkeypatch.setattr(counting, "occurrences", no_rows)
     assert queries.graph_summary(spark, "/root/testdata/sf0.001").count() > 1000
+
+
+def test_more_sure_tokens_than_room(spark):
+    table = spark.createDataFrame([(f"t{i}", i, 1.0 - i % 3 / 1000) for i in range(60)], "token string, token_id long, lp_value double")
+    rows = vocabulary.probabilistic(table, 276, ALPHABET, 7, strict=False).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(276)) and [r.token for r in rows[256:]] == [f"t{i}" for i in [*range(0, 60, 3)]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import ALPHABET
 from tokenloom.operators.sampling import hash_key, uniform
+from tokenloom.session import materialize
 
 
 def best(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -62,12 +63,18 @@ def biased(lp: DataFrame, size: int, alphabet: list[str], specials: list[str] =
     return _with_alphabet(best(keyed, _budget(size, alphabet, specials), [F.desc("_key"), F.asc("token_id")]), alphabet, specials)
 
 
-def probabilistic(lp: DataFrame, size: int, alphabet: list[str], seed: int, specials: list[str] = (), sure: float = 0.99) -> DataFrame:
-    """All tokens above ``sure``, the rest drawn without replacement in proportion to their values (Gumbel top-k)."""
+def probabilistic(lp: DataFrame, size: int, alphabet: list[str], seed: int, specials: list[str] = (), sure: float = 0.99, strict: bool = True) -> DataFrame:
+    """All tokens above ``sure``, the rest drawn without replacement in proportion to their values (Gumbel top-k).
+
+    More tokens above ``sure`` than there is room for are an error; if not ``strict``, the first by value and token id fill it.
+    """
     specials = list(specials)
     left = _budget(size, alphabet, specials)
+    lp = materialize(lp, "values")  # it is read three times
     certain = lp.where(F.col("lp_value") > sure)
     n = certain.count()
+    if n > left and not strict:
+        return _with_alphabet(best(certain, left, [F.desc("lp_value"), F.asc("token_id")]), alphabet, specials)
     if n > left:
         raise ValueError(f"{n} tokens are above {sure}; there is room for {left}")
     u = uniform(hash_key(seed, "token_id"))
