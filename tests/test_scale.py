@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tokenloom.functions.text import ALPHABET
-from tokenloom.operators import bpe, counting, prefixes, vocabulary
+from tokenloom.operators import bpe, counting, prefixes, unigram, vocabulary
 
 
 def some_words(seed, n=200):
@@ -123,3 +124,18 @@ def test_totals_make_no_row_for_each_substring(spark, monkeypatch, name):
 
     monkeypatch.setattr(counting, "occurrences", no_rows)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_expected_counts_of_many_words(seed, monkeypatch):
+    monkeypatch.setattr(unigram.Expected, "_CELLS", 10 ** (1 + 2 * seed))
+    rng = random.Random(seed)
+    words = [w for w, _ in some_words(seed, 60)] + ["", "zz"]
+    freq = np.array([rng.randint(1, 9) for _ in words])
+    logp = {w[i : i + rng.randint(1, 4)]: -9 * rng.random() for w in words for i in range(len(w))}
+    want = dict.fromkeys(logp, 0.0)
+    for w, f in zip(words, freq):
+        for t, e in unigram._expected(w, logp, 4).items():
+            want[t] += f * e
+    made = unigram.Expected(logp)
+    assert dict(zip(made.tokens, made.of(words, freq))) == pytest.approx(want)
